@@ -37,16 +37,17 @@ def running_total(df: DataFrame, order: list[Column], groups: list[str] = (), we
     return joined.withColumn(name, F.col("__run") + F.coalesce("__off", F.lit(0))).drop("__w", "__pid", "__run", "__p", "__off", *[f"__g{i}" for i in range(len(groups))])
 
 
-def lookup(df: DataFrame, values: DataFrame, key: str, weight: str, share: float = 0.001) -> DataFrame:
-    """Inner join of ``df`` with one row per ``key`` in ``values``, safe when few keys own most rows.
+def lookup(df: DataFrame, values: DataFrame, keys: list[str], weight: str, share: float = 0.001) -> DataFrame:
+    """Inner join of ``df`` with one row per ``keys`` in ``values``, safe when few keys own most rows.
 
     ``weight`` counts each key's rows in ``df``. Keys above ``share`` of all rows are at most ``1 / share``, so their
-    part is broadcast and their rows stay where they are; all others join by shuffle.
+    part is broadcast and their rows stay where they are; all others join by shuffle. Null keys find nothing.
     """
     total = values.agg(F.sum(weight).alias("__all"))
     marked = values.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(weight) > F.col("__all") * share)
-    hot, cold = (marked.where(F.col("__hot") == flag).drop("__all", "__hot") for flag in (True, False))
-    left = df.join(F.broadcast(hot.select(F.col(key).alias("__k"))), F.col(key) == F.col("__k"), "left")
-    on_hot = left.where(F.col("__k").isNotNull()).drop("__k").join(F.broadcast(hot), key)
-    on_cold = left.where(F.col("__k").isNull()).drop("__k").join(cold, key)
-    return on_hot.unionByName(on_cold)
+    rest = [c for c in values.columns if c not in keys]
+    hot = marked.where("__hot").select(*keys, F.struct(*rest).alias("__found"))
+    cold = marked.where("NOT __hot").select(*keys, F.struct(*rest).alias("__found"))
+    left = df.join(F.broadcast(hot), keys, "left")
+    on_hot, on_cold = left.where(F.col("__found").isNotNull()), left.where(F.col("__found").isNull()).drop("__found").join(cold, keys)
+    return on_hot.unionByName(on_cold).select("*", "__found.*").drop("__found")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.runtime import once
+
 #: What a value begins with. A delimiter only separates where a value, or the end of the piece, follows.
 URL_START = r"(?i:https?://)"
 #: Marks that stand for "quote" and "separator" while a text is taken apart; noncharacters, never in valid text.
@@ -46,7 +48,7 @@ def unpack(df: DataFrame, column: str, value: str = "item", ordinal: str = "pos"
     already has a column named as ``value`` or ``ordinal``, the new one takes its place.
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (column, value, ordinal)]
-    return df.select(*kept, F.posexplode(packed_values(F.col(f"`{column}`"), **how)).alias(ordinal, value))
+    return df.select(*kept, F.posexplode(once(packed_values(F.col(f"`{column}`"), **how))).alias(ordinal, value))
 
 
 def split_posting(item: Column | str) -> Column:

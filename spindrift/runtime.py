@@ -42,3 +42,12 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
 def salt(parts: int, *columns: Column | str) -> Column:
     """A deterministic salt in ``0 .. parts - 1``: equal rows get equal salts, so a retried task repeats itself."""
     return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
+
+
+def once(value: Column) -> Column:
+    """``value`` behind a barrier: later filters and projections use the result and don't repeat the expression.
+
+    Predicate pushdown and project collapsing copy deterministic expressions, into lambdas too, where a copy would be
+    evaluated per element. The partition number is never negative, so the value is unchanged.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
