@@ -6,8 +6,6 @@ Ranks come from counts per distinct score value and a distributed running total,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +15,19 @@ from spindrift.operators.ordering import lookup, running_total
 K = 60
 
 
-def competition_ranks(df: DataFrame, key: str, score: str, name: str = "rank") -> DataFrame:
-    """``key`` and ``name``: 1 plus the number of rows with a greater score. Null scores rank last, NaN as null."""
-    value = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
-    narrow = df.select(key, F.coalesce(value, F.lit(float("-inf"))).alias("__v"))
-    sizes = narrow.groupBy("__v").agg(F.count("*").alias("__n"))
-    places = running_total(sizes, [F.col("__v").desc()], weight=F.col("__n"), name="__upto")
-    return lookup(narrow, places.select("__v", "__n", (F.col("__upto") - F.col("__n") + 1).alias(name)), "__v", "__n").select(key, name)
+def score_ranks(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
+    """``key, score, rank``: for each score 1 plus the number of rows with a greater value.
+
+    ``score`` is the place of the name in ``scores``. Null scores rank last, NaN as null. All scores are ranked in one
+    pass: rows are counted per distinct value first, so that only values are sorted, whatever share of rows ties.
+    """
+    clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    each = F.array(*[F.coalesce(clean(c), F.lit(float("-inf"))) for c in scores])
+    narrow = df.select(key, F.posexplode(each).alias("score", "__v"))
+    sizes = narrow.groupBy("score", "__v").agg(F.count("*").alias("__n"))
+    places = running_total(sizes, [F.col("__v").desc()], ["score"], weight=F.col("__n"), name="__upto")
+    ranks = places.select("score", "__v", "__n", (F.col("__upto") - F.col("__n") + 1).alias("rank"))
+    return lookup(narrow, ranks, ["score", "__v"], "__n").select(key, "score", "rank")
 
 
 def fuse(df: DataFrame, key: str, scores: list[str], k: int = K) -> DataFrame:
@@ -31,10 +35,9 @@ def fuse(df: DataFrame, key: str, scores: list[str], k: int = K) -> DataFrame:
 
     ``key`` must be unique. A null score ranks behind all others of its kind, so that an item without it is still
     ordered by the rest. Equal totals are ordered by ``key``. The parts are added as integers of 1e-12, so that the
-    order of addition cannot change a total.
+    order of addition cannot change a total. An empty frame gives an empty frame.
     """
-    part = lambda c: F.round(F.lit(1e12) / (k + F.col(c))).cast("long")
-    ranked = [competition_ranks(df, key, s, "__rank").select(key, part("__rank").alias("__part")) for s in scores]
-    total = reduce(DataFrame.unionByName, ranked).groupBy(key).agg(F.sum("__part").alias("__rrf"))
+    part = F.round(F.lit(1e12) / (k + F.col("rank"))).cast("long")
+    total = score_ranks(df, key, scores).groupBy(key).agg(F.sum(part).alias("__rrf"))
     placed = running_total(total, [F.col("__rrf").desc(), F.col(key).asc()], name="place")
     return placed.select(key, (F.col("__rrf") / 1e12).alias("rrf"), F.col("place").cast("long"))

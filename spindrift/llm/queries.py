@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import domain, page_key
+from spindrift.llm.boilerplate import bodies, frame_lines
 from spindrift.llm.contributors import cap_contributors, over_share
 from spindrift.llm.distinctive import UNKNOWN_SIZE, postings, residuals
 from spindrift.llm.encoding import encode_documents
 from spindrift.llm.fusion import K, fuse
+from spindrift.llm.spam import score_pages
 from spindrift.operators.packed import unpack
 from spindrift.plans.packed import sql_values
 from spindrift.sources.tables import current, pages, table
@@ -18,6 +20,30 @@ from spindrift.sources.tables import current, pages, table
 SHARE = 0.03
 
 
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return frame_lines(pages(spark, base, "page"))
+
+
+def page_bodies(spark: SparkSession, base: str) -> DataFrame:
+    """``id, body``: the own text of each page."""
+    return bodies(pages(spark, base, "page"))
+
+
+def p2_bodies(spark: SparkSession, base: str) -> DataFrame:
+    """Each page's own text, for the stages that follow."""
+    return page_bodies(spark, base)
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return score_pages(spark, page_bodies(spark, base)).where("flagged").select("id")
+
+
+def p3_scores(spark: SparkSession, base: str) -> DataFrame:
+    """Curve and divergence of each page, rounded."""
+    scores = score_pages(spark, page_bodies(spark, base))
+    return scores.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in scores.dtypes])
+
+
 def ranks(spark: SparkSession, base: str) -> DataFrame:
     """``id, rank``: the greatest rank of each page; repeated rows count once, null ranks stay null."""
     return table(spark, base, "pageranks", "id", "rank").groupBy("id").agg(F.max("rank").alias("rank"))
@@ -74,6 +100,8 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_bodies": p2_bodies,
+    "p3_found": p3_found, "p3_scores": p3_scores,
     "p4_found": p4_found, "p4_balanced": p4_balanced,
     "p5_ranking": p5_ranking,
     "p7_found": p7_found, "p7_scores": p7_scores,
