@@ -11,9 +11,11 @@ from spindrift.llm.contributors import cap_contributors, over_share
 from spindrift.llm.distinctive import UNKNOWN_SIZE, postings, residuals
 from spindrift.llm.encoding import encode_documents
 from spindrift.llm.fusion import K, fuse
+from spindrift.llm.neardup import classes, expand, near_duplicates
 from spindrift.llm.spam import score_pages
 from spindrift.operators.packed import unpack
 from spindrift.plans.packed import sql_values
+from spindrift.runtime import cut
 from spindrift.sources.tables import current, pages, table
 
 #: A contributor's greatest share of the page set.
@@ -99,11 +101,28 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encode_documents(table(spark, base, "documents", "doc_id", "text"))
 
 
+def _near_duplicates(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs and members among the bodies of pages that aren't spam: three-word runs, similarity 0.4."""
+    own = cut(page_bodies(spark, base))
+    clean = own.join(score_pages(spark, own).where("flagged").select("id"), "id", "left_anti")
+    return near_duplicates(clean, "id", "body", n=3, threshold=0.4)
+
+
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    return expand(*_near_duplicates(spark, base), "id")
+
+
+def p6_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Each such page with its group and its number of similar pages."""
+    return classes(*_near_duplicates(spark, base), "id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_bodies": p2_bodies,
     "p3_found": p3_found, "p3_scores": p3_scores,
     "p4_found": p4_found, "p4_balanced": p4_balanced,
     "p5_ranking": p5_ranking,
+    "p6_found": p6_found, "p6_classes": p6_classes,
     "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids,
 }
