@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.ordering import running_total
+from spindrift.runtime import cut
 
 
 def water_level(top: list[int], total: int, share: float, of: str = "input", most: int | None = None) -> int:
@@ -43,6 +44,7 @@ def over_share(df: DataFrame, contributor: str, order: list[Column], share: floa
     Counting is pre-aggregated; only rows of the at most ``1 / share`` contributors above the level move, range
     partitioned, so that one contributor with a third of all rows spans many tasks. An empty frame gives an empty frame.
     """
+    df = cut(df)  # counted, then read again
     counts = df.where(F.col(contributor).isNotNull()).groupBy(contributor).agg(F.count("*").alias("__n"))
     bound = math.ceil(1 / share) + 1
     top = counts.orderBy(F.desc("__n"), contributor).limit(bound).collect()

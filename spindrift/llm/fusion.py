@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.ordering import lookup, running_total
+from spindrift.runtime import cut
 
 #: The constant of the original method; it damps the lead of the first places.
 K = 60
@@ -23,7 +24,7 @@ def score_ranks(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
     """
     clean = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     each = F.array(*[F.coalesce(clean(c), F.lit(float("-inf"))) for c in scores])
-    narrow = df.select(key, F.posexplode(each).alias("score", "__v"))
+    narrow = cut(df.select(key, each.alias("__each"))).select(key, F.posexplode("__each").alias("score", "__v"))  # read three times
     sizes = narrow.groupBy("score", "__v").agg(F.count("*").alias("__n"))
     places = running_total(sizes, [F.col("__v").desc()], ["score"], weight=F.col("__n"), name="__upto")
     ranks = places.select("score", "__v", "__n", (F.col("__upto") - F.col("__n") + 1).alias("rank"))

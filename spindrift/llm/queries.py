@@ -73,7 +73,7 @@ def page_scores(spark: SparkSession, base: str) -> DataFrame:
     own = pages(spark, base, "url").withColumn("key", page_key("url"))
     by_url = postings(table(spark, base, "index_final", "word", "value")).groupBy("url").agg(F.sum("tf").alias("positions"))
     links = unpack(current(table(spark, base, "outdegrees", "id", "links", "seq")), "links").select(F.col("id").alias("src"), page_key("item").alias("key"))
-    links = links.where(F.col("key").isNotNull()).distinct()
+    links = cut(links.where(F.col("key").isNotNull()).distinct())
     into = links.groupBy("key").agg(F.count("*").alias("in_links"))
     out_of = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_links"))
     scores = own.join(by_url, "url", "left").join(into, "key", "left").join(out_of, "id", "left").join(ranks(spark, base), "id", "left")
