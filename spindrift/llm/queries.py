@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from spindrift.functions.urls import domain, page_key
 from spindrift.llm.boilerplate import bodies, frame_lines
 from spindrift.llm.contributors import cap_contributors, over_share
+from spindrift.llm.difficulty import is_language, levels, propagate, word_count
 from spindrift.llm.distinctive import UNKNOWN_SIZE, postings, residuals
 from spindrift.llm.encoding import encode_documents
 from spindrift.llm.fusion import K, fuse
 from spindrift.llm.neardup import classes, expand, near_duplicates
+from spindrift.llm.packing import pack
 from spindrift.llm.spam import score_pages
 from spindrift.operators.packed import unpack
 from spindrift.plans.packed import sql_values
@@ -20,6 +22,8 @@ from spindrift.sources.tables import current, pages, table
 
 #: A contributor's greatest share of the page set.
 SHARE = 0.03
+#: Tokens in a container, and words of a document that gets a reading level.
+CAPACITY, LEAST_WORDS = 2048, 60
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -117,6 +121,27 @@ def p6_classes(spark: SparkSession, base: str) -> DataFrame:
     return classes(*_near_duplicates(spark, base), "id")
 
 
+def document_sizes(spark: SparkSession, base: str) -> DataFrame:
+    """``doc_id, n_tokens`` of each document by byte_bpe_50k."""
+    return encode_documents(table(spark, base, "documents", "doc_id", "text"), sizes_only=True)
+
+
+def p9_containers(spark: SparkSession, base: str) -> DataFrame:
+    return pack(document_sizes(spark, base), "doc_id", "n_tokens", CAPACITY)
+
+
+def p9_summary(spark: SparkSession, base: str) -> DataFrame:
+    """Containers used against the fewest that could hold all tokens."""
+    used = p9_containers(spark, base)
+    return used.agg(F.countDistinct("container").alias("containers"), F.ceil(F.sum("size") / CAPACITY).alias("fewest"), F.sum("size").alias("tokens"), F.count("*").alias("parts"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents", "doc_id", "text", "lang")
+    docs = docs.where(is_language("lang", "en") & (word_count("text") >= LEAST_WORDS)).select("doc_id", "text")
+    return levels(propagate(docs, table(spark, base, "reading_labels", "doc_id", "level")))
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_bodies": p2_bodies,
     "p3_found": p3_found, "p3_scores": p3_scores,
@@ -125,6 +150,8 @@ QUERIES = {
     "p6_found": p6_found, "p6_classes": p6_classes,
     "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids,
+    "p9_containers": p9_containers, "p9_summary": p9_summary,
+    "p10_found": p10_found,
 }
 #: The current row of each page.
 _PAGES = "(SELECT * FROM content WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1)"
