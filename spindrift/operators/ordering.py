@@ -37,6 +37,27 @@ def running_total(df: DataFrame, order: list[Column], groups: list[str] = (), we
     return joined.withColumn(name, F.col("__run") + F.coalesce("__off", F.lit(0))).drop("__w", "__pid", "__run", "__p", "__off", *[f"__g{i}" for i in range(len(groups))])
 
 
+def previous(df: DataFrame, value: str, order: list[Column], groups: list[str], name: str = "previous") -> DataFrame:
+    """Add ``name``: ``value`` of the row before this one in its group, null for a group's first row.
+
+    As :func:`running_total`, for groups of any size: each task looks back among its own rows, and the first row of a
+    group in a task takes the last value that an earlier task has of that group, from a table of a row per task and
+    group. ``order`` must be total within a group.
+    """
+    n = shuffle_partitions(df.sparkSession)
+    ranged = cut(df.repartitionByRange(n, *groups, *order).withColumn("__pid", F.spark_partition_id()))
+    local = Window.partitionBy("__pid", *groups).orderBy(*order)
+    looked = ranged.withColumn("__at", F.row_number().over(local)).withColumn("__before", F.lag(value).over(local))
+    ends = looked.groupBy("__pid", *groups).agg(F.max_by(F.struct(F.col(value).alias("v")), "__at").alias("__end"))
+    carried = ends.withColumn("__carry", F.lag("__end").over(Window.partitionBy(*groups).orderBy("__pid")))
+    right = carried.select(F.col("__pid").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__carry.v").alias("__carry"))
+    on = F.col("__pid") == F.col("__p")
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    joined = looked.join(right, on, "left")
+    return joined.withColumn(name, F.when(F.col("__at") == 1, F.col("__carry")).otherwise(F.col("__before"))).drop("__pid", "__at", "__before", "__p", "__carry", *[f"__g{i}" for i in range(len(groups))])
+
+
 def lookup(df: DataFrame, values: DataFrame, keys: list[str], weight: str, share: float = 0.001) -> DataFrame:
     """Inner join of ``df`` with one row per ``keys`` in ``values``, safe when few keys own most rows.
 

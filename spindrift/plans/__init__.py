@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed",)
+MODULES = ("packed", "datasets")
 
 
 def collect() -> tuple[dict, dict]:
