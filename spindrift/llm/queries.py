@@ -17,6 +17,7 @@ from spindrift.llm.packing import pack
 from spindrift.llm.spam import score_pages
 from spindrift.operators.packed import unpack
 from spindrift.plans.packed import sql_values
+from spindrift.plans.sqltext import SQL_PAGES, sql_domain, sql_key
 from spindrift.runtime import cut
 from spindrift.sources.tables import current, pages, table
 
@@ -153,40 +154,18 @@ QUERIES = {
     "p9_containers": p9_containers, "p9_summary": p9_summary,
     "p10_found": p10_found,
 }
-#: The current row of each page.
-_PAGES = "(SELECT * FROM content WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1)"
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
-
-
-def _sql_host(url: str) -> str:
-    bare = rf"regexp_replace(regexp_extract(trim({url}), '{_SCHEME}([^/?#\\]*)', 1), '^.*@', '')"
-    return rf"lower(regexp_replace(regexp_replace({bare}, ':[0-9]*$', ''), '\.+$', ''))"
-
-
-def _sql_domain(url: str) -> str:
-    return rf"regexp_extract({_sql_host(url)}, '([^.]+\.[^.]+|[^.]+)$', 1)"
-
-
-def _sql_key(url: str) -> str:
-    scheme = f"lower(regexp_extract(trim({url}), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
-    port = rf"regexp_extract(regexp_extract(trim({url}), '{_SCHEME}([^/?#\\]*)', 1), ':([0-9]+)$', 1)"
-    path = rf"regexp_extract(trim({url}), '{_SCHEME}[^/?#\\]*([^#]*)', 1)"
-    shown = f"CASE WHEN {port} = '' OR ({scheme} = 'http' AND {port} = '80') OR ({scheme} = 'https' AND {port} = '443') THEN '' ELSE ':' || {port} END"
-    return f"nullif({scheme} || '://' || {_sql_host(url)} || {shown} || CASE WHEN {path}[1] = '/' THEN {path} ELSE '/' || {path} END, ':///')"
-
-
 _RANKS = "(SELECT id, max(rank) AS rank FROM pageranks GROUP BY id)"
-_RANKED = f"(SELECT p.id, {_sql_domain('p.url')} AS contributor, r.rank FROM {_PAGES} p LEFT JOIN {_RANKS} r USING (id) WHERE trim(p.url) <> '')"
+_RANKED = f"(SELECT p.id, {sql_domain('p.url')} AS contributor, r.rank FROM {SQL_PAGES} p LEFT JOIN {_RANKS} r USING (id) WHERE trim(p.url) <> '')"
 _TF = rf"""(SELECT word, url, count(DISTINCT n) AS tf FROM (
     SELECT word, regexp_extract(item, '^(.*):[^:]*$', 1, 's') AS url, unnest(regexp_extract_all(regexp_extract(item, ':([0-9\s]*)$', 1), '[0-9]+')) AS n
     FROM ({sql_values("index_final", "value", "word")}) WHERE word IS NOT NULL) WHERE url <> '' GROUP BY word, url)"""
-_SIZED = f"(SELECT id, url, greatest(coalesce(wordcount, {UNKNOWN_SIZE}), 1) AS wordcount FROM {_PAGES} WHERE url IS NOT NULL)"
+_SIZED = f"(SELECT id, url, greatest(coalesce(wordcount, {UNKNOWN_SIZE}), 1) AS wordcount FROM {SQL_PAGES} WHERE url IS NOT NULL)"
 _SCORED = f"""(SELECT id, word, tf, CAST(wordcount AS DOUBLE) AS wordcount, n_records, ((tf - r * wordcount / n) / sqrt(r * wordcount / n)) / sqrt((1 - r / n) * (1 - wordcount / n)) AS adjusted
     FROM {_TF} JOIN (SELECT word, CAST(sum(tf) AS DOUBLE) AS r, count(*) AS n_records FROM {_TF} GROUP BY word) USING (word) JOIN {_SIZED} USING (url), (SELECT CAST(sum(wordcount) AS DOUBLE) AS n FROM {_SIZED}))"""
-_LINKS = f"(SELECT DISTINCT src, key FROM (SELECT id AS src, {_sql_key('item')} AS key FROM ({sql_values('(SELECT * FROM outdegrees WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1)', 'links', 'id')})) WHERE key IS NOT NULL)"
-_SCORES = f"""(SELECT p.id, coalesce(positions, 0) AS positions, coalesce(in_links, 0) AS in_links, coalesce(out_links, 0) AS out_links, rank FROM {_PAGES} p
+_LINKS = f"(SELECT DISTINCT src, key FROM (SELECT id AS src, {sql_key('item')} AS key FROM ({sql_values('(SELECT * FROM outdegrees WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1)', 'links', 'id')})) WHERE key IS NOT NULL)"
+_SCORES = f"""(SELECT p.id, coalesce(positions, 0) AS positions, coalesce(in_links, 0) AS in_links, coalesce(out_links, 0) AS out_links, rank FROM {SQL_PAGES} p
     LEFT JOIN (SELECT url, sum(tf) AS positions FROM {_TF} GROUP BY url) t ON t.url = p.url
-    LEFT JOIN (SELECT key, count(*) AS in_links FROM {_LINKS} GROUP BY key) i ON i.key = {_sql_key('p.url')}
+    LEFT JOIN (SELECT key, count(*) AS in_links FROM {_LINKS} GROUP BY key) i ON i.key = {sql_key('p.url')}
     LEFT JOIN (SELECT src, count(*) AS out_links FROM {_LINKS} GROUP BY src) o ON o.src = p.id
     LEFT JOIN {_RANKS} r ON r.id = p.id)"""
 _PARTS = " + ".join(f"CAST(round(1e12 / ({K} + rank() OVER (ORDER BY {c} DESC NULLS LAST))) AS BIGINT)" for c in ("positions", "in_links", "out_links", "rank"))
