@@ -33,12 +33,17 @@ def is_language(lang: Column | str, code: str) -> Column:
 
 
 def graph(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``words`` (hash of a word, its part of the text): one row per key; a text without words has none."""
-    words = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{M}]+"), 0), lambda w: F.xxhash64(w))
-    tokens = docs.where(F.col(key).isNotNull()).select(key, F.explode_outer(once(words)).alias("h"))
-    counts = tokens.groupBy(key, "h").agg(F.count("*").alias("n"))
-    rows = counts.groupBy(key).agg(F.sum("n").alias("__n"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "n"))).alias("__w"))  # one text's words
-    return rows.select(key, F.transform("__w", lambda x: F.struct(x["h"].alias("h"), (x["n"] / F.col("__n")).alias("w"))).alias("words"))
+    """``key`` and ``words`` (hash of a word, its part of the text), one row per row with a key; nothing is shuffled.
+
+    The hashes of a text are sorted, and where one differs from the last a word begins.
+    """
+    hashes = F.array_sort(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}]+"), 0), lambda w: F.xxhash64(w)))
+    rows = docs.where(F.col(key).isNotNull()).select(key, once(hashes).alias("__s"))
+    n = F.size("__s")
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get("__s", i) != F.get("__s", i - 1))))
+    rows = rows.withColumn("__at", once(begins))
+    ends = F.concat(F.slice("__at", F.lit(2), F.greatest(F.size("__at") - 1, F.lit(0))), F.slice(F.array(n), 1, F.least(F.size("__at"), F.lit(1))))
+    return rows.select(key, F.zip_with("__at", ends, lambda a, b: F.struct(F.get("__s", a).alias("h"), ((b - a) / n).alias("w"))).alias("words"))
 
 
 def _edges(rows: DataFrame, *carried: str) -> DataFrame:
@@ -71,7 +76,7 @@ def propagate(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str
         x = _documents(rows, words, key)
         valued = rows.join(x, key, "left").withColumn("x", F.coalesce("grade", "x")).where("x IS NOT NULL").select(key, "words", "x")
         words = _words(valued, "x")
-    return rows.select(key, "grade").join(_documents(rows, words, key), key, "left").select(key, F.col("x").alias("difficulty"), "grade")
+    return rows.select(key, "grade").distinct().join(_documents(rows, words, key), key, "left").select(key, F.col("x").alias("difficulty"), "grade")
 
 
 def levels(propagated: DataFrame, key: str = "doc_id") -> DataFrame:
