@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "datasets")
+MODULES = ("packed", "datasets", "store", "web")
 
 
 def collect() -> tuple[dict, dict]:
