@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packed", "datasets", "store", "web")
+MODULES = ("packed", "datasets", "store", "web", "search")
 
 
 def collect() -> tuple[dict, dict]:
