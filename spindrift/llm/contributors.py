@@ -37,19 +37,13 @@ def water_level(top: list[int], total: int, share: float, of: str = "input", mos
     return min(level, most) if most else level
 
 
-def over_share(df: DataFrame, contributor: str, order: list[Column], share: float, of: str = "input", most: int | None = None) -> DataFrame:
-    """The rows of ``df`` that a contributor may not keep: all after its first ``L`` in ``order``.
-
-    ``order`` puts the best first and should be total. Rows with a null contributor belong to nobody and are never cut.
-    Counting is pre-aggregated; only rows of the at most ``1 / share`` contributors above the level move, range
-    partitioned, so that one contributor with a third of all rows spans many tasks. An empty frame gives an empty frame.
-    """
+def _split(df: DataFrame, contributor: str, order: list[Column], share: float, of: str, most: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Rows of contributors up to the level, rows of those above it with their ``__place``, and the level."""
     df = cut(df)  # counted, then read again
     counts = df.where(F.col(contributor).isNotNull()).groupBy(contributor).agg(F.count("*").alias("__n"))
     bound = math.ceil(1 / share) + 1
     top = counts.orderBy(F.desc("__n"), contributor).limit(bound).collect()
-    total = df.count()
-    level = water_level([r["__n"] for r in top], total, share, of, most)
+    level = water_level([r["__n"] for r in top], df.count(), share, of, most)
     if most:  # a maximum count may stop more contributors than a share can
         loud = counts.where(F.col("__n") > level).select(contributor)
     else:
@@ -57,9 +51,23 @@ def over_share(df: DataFrame, contributor: str, order: list[Column], share: floa
         loud = df.sparkSession.createDataFrame([(x,) for x in names], f"`{contributor}` {df.schema[contributor].dataType.simpleString()}")
         loud = F.broadcast(loud)  # at most 1 / share rows
     placed = running_total(df.join(loud, contributor, "left_semi"), order, [contributor], name="__place")
-    return placed.where(F.col("__place") > level).drop("__place")
+    return df.join(loud, contributor, "left_anti"), placed, level
+
+
+def over_share(df: DataFrame, contributor: str, order: list[Column], share: float, of: str = "input", most: int | None = None) -> DataFrame:
+    """The rows of ``df`` that a contributor may not keep: all after its first ``L`` in ``order``.
+
+    ``order`` puts the best first; rows that tie in all of it are cut in any order, as many as needed. Rows with a null
+    contributor belong to nobody and are never cut; repeated rows count each. Counting is combined before the shuffle;
+    only rows of the at most ``1 / share`` contributors above the level move, range-partitioned, so that one contributor
+    with a third of all rows spans many tasks. All columns are kept. An empty frame gives an empty frame.
+    """
+    _, placed, level = _split(df, contributor, order, share, of, most)
+    return placed.where(F.col("__place") > level).select(*[f"`{c}`" for c in df.columns])
 
 
-def cap_contributors(df: DataFrame, contributor: str, order: list[Column], key: str, share: float, of: str = "input", most: int | None = None) -> DataFrame:
-    """``df`` without the rows of :func:`over_share`; ``key`` names a column that is unique in ``df``."""
-    return df.join(over_share(df, contributor, order, share, of, most).select(key), key, "left_anti")
+def cap_contributors(df: DataFrame, contributor: str, order: list[Column], share: float, of: str = "input", most: int | None = None) -> DataFrame:
+    """``df`` without the rows of :func:`over_share`."""
+    quiet, placed, level = _split(df, contributor, order, share, of, most)
+    kept = placed.where(F.col("__place") <= level)
+    return quiet.unionByName(kept.drop("__place")).select(*[f"`{c}`" for c in df.columns])

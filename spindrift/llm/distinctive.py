@@ -32,10 +32,13 @@ def residuals(counts: DataFrame, records: DataFrame, term: str = "word", record:
 
     ``records`` has one row per record with its ``size``; records that ``counts`` names and ``records`` lacks take part
     in the margins of terms but get no row. A null size is :data:`UNKNOWN_SIZE`, one below the record's counted terms is
-    raised to 1. Adds ``n_records`` (records with the term), ``expected``, ``residual`` and ``adjusted``; where a
-    margin is the whole, the adjusted residual is null. Empty inputs give an empty frame.
+    raised to 1. Other columns of ``records`` stay unless ``counts`` has one of that name. Adds ``n_records`` (records with the term), ``expected``, ``residual`` and ``adjusted``; where a
+    margin is the whole, the adjusted residual is null. Null terms and records are left out; a record repeated in
+    ``records`` counts each time. Empty inputs give an empty frame.
     """
+    records = records.select(record, *[F.col(f"`{c}`") for c in records.columns if c != record and c not in counts.columns])
     sized = records.withColumn(size, F.greatest(F.coalesce(F.col(size), F.lit(UNKNOWN_SIZE)), F.lit(1)).cast("double"))
+    counts = counts.where(F.col(term).isNotNull() & F.col(record).isNotNull())
     rows = counts.groupBy(term).agg(F.sum(tf).cast("double").alias("__r"), F.count("*").alias("n_records"))
     total = sized.agg(F.sum(size).alias("__n"))
     out = counts.join(sized, record).join(rows, term).crossJoin(F.broadcast(total))

@@ -70,7 +70,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p4_balanced(spark: SparkSession, base: str) -> DataFrame:
     """The page set in which no domain exceeds its share of what is left."""
-    return cap_contributors(_ranked_pages(spark, base), "contributor", _BEST_FIRST, "id", SHARE, of="output")
+    return cap_contributors(_ranked_pages(spark, base), "contributor", _BEST_FIRST, SHARE, of="output")
 
 
 def page_scores(spark: SparkSession, base: str) -> DataFrame:

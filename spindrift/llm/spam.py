@@ -33,9 +33,9 @@ _ADDRESS, _OTHER = "<address>", "<other>"
 
 
 def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """``key, word, n``: words in lower case; any address is one symbol. Null bodies have none."""
+    """``key, word, n``: words in lower case; any address is one symbol. Null bodies and null keys have none."""
     words = F.transform(F.regexp_extract_all(F.lower(body), F.lit(_WORD), 0), lambda w: F.when(w.rlike(r"^(?:https?://|www\.)"), _ADDRESS).otherwise(w))
-    return bodies.select(key, F.explode(once(words)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(words)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def curves(counts: DataFrame, key: str = "id") -> DataFrame:
