@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import domain, page_key
@@ -61,16 +61,17 @@ def _ranked_pages(spark: SparkSession, base: str) -> DataFrame:
     return own.join(ranks(spark, base), "id", "left")
 
 
-_BEST_FIRST = [F.col("rank").desc_nulls_last(), F.col("id").asc()]
+def _best_first() -> list[Column]:
+    return [F.col("rank").desc_nulls_last(), F.col("id").asc()]
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    return over_share(_ranked_pages(spark, base), "contributor", _BEST_FIRST, SHARE).select("id")
+    return over_share(_ranked_pages(spark, base), "contributor", _best_first(), SHARE).select("id")
 
 
 def p4_balanced(spark: SparkSession, base: str) -> DataFrame:
     """The page set in which no domain exceeds its share of what is left."""
-    return cap_contributors(_ranked_pages(spark, base), "contributor", _BEST_FIRST, SHARE, of="output")
+    return cap_contributors(_ranked_pages(spark, base), "contributor", _best_first(), SHARE, of="output")
 
 
 def page_scores(spark: SparkSession, base: str) -> DataFrame:
@@ -172,6 +173,9 @@ _PARTS = " + ".join(f"CAST(round(1e12 / ({K} + rank() OVER (ORDER BY {c} DESC NU
 
 SQL: dict[str, str] = {
     "p4_found": f"SELECT id FROM {_RANKED} QUALIFY row_number() OVER (PARTITION BY contributor ORDER BY rank DESC NULLS LAST, id) > ceil(round({SHARE} * count(*) OVER (), 9))",
+    "p4_balanced": f"""WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), c AS MATERIALIZED (SELECT count(*) AS n FROM r WHERE contributor IS NOT NULL GROUP BY contributor),
+        level AS MATERIALIZED (SELECT max(l) AS l FROM (SELECT l, greatest(1, ceil(round({SHARE} * (sum(least(n, l)) + (SELECT count(*) FROM r WHERE contributor IS NULL)), 9))) AS most FROM c, (SELECT unnest(range(1, (SELECT count(*) + 1 FROM r))) AS l) GROUP BY l) WHERE l <= most)
+        SELECT * FROM r QUALIFY contributor IS NULL OR row_number() OVER (PARTITION BY contributor ORDER BY rank DESC NULLS LAST, id) <= (SELECT l FROM level)""",
     "p5_ranking": f"SELECT id, total / 1e12 AS rrf, row_number() OVER (ORDER BY total DESC, id) AS place FROM (SELECT id, {_PARTS} AS total FROM {_SCORES})",
     "p7_scores": f"SELECT id, word, tf, wordcount, n_records, round(adjusted, 4) AS adjusted FROM {_SCORED}",
     "p7_found": f"SELECT DISTINCT id, word FROM {_SCORED} WHERE n_records <= 3 AND tf * 50 >= wordcount",

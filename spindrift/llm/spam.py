@@ -105,15 +105,20 @@ def _length_class(words: Column) -> Column:
 
 
 def _norms(figures: DataFrame) -> list[tuple]:
-    """Median and spread of each figure by language and length class, for all classes; a bounded number of rows."""
-    prose = figures.where("prose").withColumn("cls", _length_class(F.col("words")))
+    """Median and spread of each figure by language and length class, for all classes; a bounded number of rows.
+
+    A class without enough prose takes the nearest class that has; class -1 is all prose of a language, for languages in
+    which no class has.
+    """
+    prose = figures.where("prose").withColumn("cls", F.explode(F.array(_length_class(F.col("words")), F.lit(-1))))
     names = list(SPREADS)
     middle = prose.groupBy("language", "cls").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in names])
     apart = prose.join(F.broadcast(middle), ["language", "cls"]).groupBy("language", "cls").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in names])
-    known = [r for r in middle.join(apart, ["language", "cls"]).collect() if r["n"] >= CLASS_LEAST]
+    every = middle.join(apart, ["language", "cls"]).collect()
+    usable = lambda k: [r for r in every if r["language"] == k and r["cls"] >= 0 and r["n"] >= CLASS_LEAST] or [r for r in every if r["language"] == k and r["cls"] < 0]
     out = []
     for language in range(len(LANGUAGES)):
-        same = [r for r in known if r["language"] == language] or [r for r in known if r["language"] == 0] or known
+        same = usable(language) or usable(0)
         for cls in range(LONGEST_CLASS + 1):
             if same:
                 r = min(same, key=lambda r: (abs(r["cls"] - cls), r["cls"]))
