@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.functions import text, web
 from spindrift.operators.ordering import previous, running_total
-from spindrift.runtime import cut
+from spindrift.runtime import cut, once
 
 #: Codes whose target is followed (fixed values).
 REDIRECTS = (301, 302, 303, 307, 308)
@@ -55,3 +58,51 @@ def too_soon(fetched: DataFrame, host: str, at: str, order: list[Column], gap_ms
 def unseen(links: DataFrame, crawled: DataFrame, key: str = "id") -> DataFrame:
     """Links whose page has no response yet."""
     return links.join(crawled.where("responsecode IS NOT NULL").select(key), key, "left_anti")
+
+
+def parse_seed(args: list[str]) -> tuple[str, str]:
+    """``("url", normal form)`` or ``("table", name)`` of a crawl's first argument; one or two arguments are taken."""
+    if not 1 <= len(args) <= 2 or not args[0]:
+        raise ValueError("a seed url or a table to resume from, and perhaps a list of patterns")
+    seed = args[0]
+    if not seed.startswith(("http://", "https://")):
+        return "table", seed
+    scheme, rest = seed.split("://", 1)
+    authority, slash, path = rest.partition("/")
+    if ":" not in authority:
+        authority += ":443" if scheme == "https" else ":80"
+    return "url", f"{scheme}://{authority}/{path if slash else ''}"
+
+
+def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataFrame, blocked: tuple[str, ...] = web.BLOCKED, suffixes: tuple[str, ...] = web.FOLLOWED, quota: int = 200, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Crawl in rounds: fetch the queue, take links and redirect targets, keep what may be fetched, until none is left.
+
+    ``seeds`` is ``url``; ``fetch`` gives ``url, responsecode, html, redirecturl`` for a frame of ``url`` and is the only
+    part that may meet the outside; ``robots`` is ``host, robots``. A new url must follow its host's rules, match no
+    blocked pattern, have an allowed suffix, be new, and fit the domain's quota of pages over the whole crawl; within a
+    round the first by url stay. Returns the fetched pages (``url, responsecode, html, redirecturl, round``) and the
+    links (``url, link``) that were allowed.
+    """
+    rules = cut(robots.where("robots IS NOT NULL").groupBy("host").agg(F.max("robots").alias("robots")).select("host", web.robots_rules("robots").alias("rules")))
+    queue = cut(seeds.select(web.normalize("url", F.lit("http://x/")).alias("url")).where("url IS NOT NULL").distinct())
+    fetched = links = None
+    for number in range(rounds):
+        got = cut(fetch(queue).select("url", "responsecode", "html", "redirecturl").withColumn("round", F.lit(number)))
+        fetched = got if fetched is None else cut(fetched.unionByName(got))
+        found = text.anchors(got.where(F.col("responsecode") == 200), "html", "url").select("url", once(web.normalize("href", "url")).alias("link"))
+        moved = redirects(got).select("url", once(web.normalize("redirecturl", "url")).alias("link"))
+        parts = web.url_parts("link")
+        new = found.unionByName(moved).where("link IS NOT NULL").distinct().withColumns({"__host": once(parts["host"]), "__path": once(parts["path"])})
+        new = web.not_blocked(new.where(web.followed("link", suffixes)), "link", blocked)
+        ruled = new.join(rules, new["__host"] == rules["host"], "left").where(F.col("rules").isNull() | web.robots_allow("__path", "rules"))
+        allowed = cut(ruled.select("url", "link"))
+        links = allowed if links is None else cut(links.unionByName(allowed))
+        known = fetched.select("url")
+        fresh = allowed.select(F.col("link").alias("url")).distinct().join(known, "url", "left_anti")
+        # Pages fetched before take their domain's first places, so that the quota holds over the whole crawl.
+        placed = known.distinct().withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+        placed = placed.withColumn("__domain", web.root_domain(web.url_parts("url")["host"]))
+        queue = cut(within_quota(placed, "__domain", [F.col("__new").asc(), F.col("url").asc()], quota).where("__new = 1").select("url"))
+        if not queue.limit(1).count():
+            break
+    return fetched, links

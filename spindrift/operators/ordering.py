@@ -64,8 +64,7 @@ def lookup(df: DataFrame, values: DataFrame, keys: list[str], weight: str, share
     ``weight`` counts each key's rows in ``df``. Keys above ``share`` of all rows are at most ``1 / share``, so their
     part is broadcast and their rows stay where they are; all others join by shuffle. Null keys find nothing.
     """
-    total = values.agg(F.sum(weight).alias("__all"))
-    marked = values.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(weight) > F.col("__all") * share)
+    marked = values.withColumn("__hot", F.col(weight) > values.agg(F.sum(weight)).scalar() * share)
     rest = [c for c in values.columns if c not in keys]
     hot = marked.where("__hot").select(*keys, F.struct(*rest).alias("__found"))
     cold = marked.where("NOT __hot").select(*keys, F.struct(*rest).alias("__found"))

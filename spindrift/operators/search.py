@@ -57,8 +57,8 @@ def score(hits: DataFrame, n_terms: int, words: DataFrame, ranks: DataFrame | No
     ``words`` is ``url, n``, ``ranks`` ``url, rank``. With ``strict`` a phrase is one chain of positions; without it
     neighbouring terms only have to meet pair by pair. Scores are rounded to 6 places.
     """
-    any_term = hits.select("url").distinct().agg(F.count("*").alias("__all"))
-    idf = hits.groupBy("i").agg(F.count("*").alias("__n")).crossJoin(F.broadcast(any_term)).select("i", (F.col("__all") / F.col("__n")).alias("idf"))
+    any_term = hits.select("url").distinct().agg(F.count("*")).scalar()
+    idf = hits.groupBy("i").agg(F.count("*").alias("__n")).select("i", (any_term / F.col("__n")).alias("idf"))
     each = hits.join(F.broadcast(idf), "i").groupBy("url").agg(  # idf has a row per slot
         F.count("*").alias("matched"),
         F.sum(F.col("freq") * F.col("idf")).alias("__tfidf"),

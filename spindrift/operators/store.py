@@ -25,8 +25,8 @@ def current_rows(log: DataFrame) -> DataFrame:
 
 def put(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The log with cells appended behind its greatest ``seq``, in the order of the rows' own ``seq``."""
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__last"))
-    shifted = rows.crossJoin(F.broadcast(last)).withColumn("seq", F.col("seq") + F.col("__last") + 1).drop("__last")
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1))).scalar()
+    shifted = rows.withColumn("seq", F.col("seq") + last + 1)
     return log.unionByName(shifted.select(*log.columns))
 
 

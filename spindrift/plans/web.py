@@ -48,9 +48,9 @@ def normalize_links(spark, base):
 
 def normalize_relative(spark, base):
     """Links of every form against every page of the link table."""
-    forms = spark.createDataFrame([(x,) for x in ("/a/b?c", "d.html", "../e", "../../../../../../f", "..", "//x.test/y", "//x.test/y?q=1", "", "?q=2")], "link string")
+    forms = F.array(*[F.lit(x) for x in ("/a/b?c", "d.html", "../e", "../../../../../../f", "..", "//x.test/y", "//x.test/y?q=1", "", "?q=2")])
     bases = current(table(spark, base, "outdegrees", "id", "url", "seq")).where("url IS NOT NULL").select("url")
-    return bases.join(F.broadcast(forms), F.lit(True)).select("url", "link", web.normalize("link", "url").alias("whole")).groupBy("link").agg(F.count("whole").alias("n"), F.sum(F.length("whole")).alias("chars"), F.min("whole").alias("first"), F.max("whole").alias("last"))
+    return bases.select("url", F.explode(forms).alias("link")).select("url", "link", web.normalize("link", "url").alias("whole")).groupBy("link").agg(F.count("whole").alias("n"), F.sum(F.length("whole")).alias("chars"), F.min("whole").alias("first"), F.max("whole").alias("last"))
 
 
 def strip_html(spark, base):
