@@ -40,8 +40,7 @@ def residuals(counts: DataFrame, records: DataFrame, term: str = "word", record:
     sized = records.withColumn(size, F.greatest(F.coalesce(F.col(size), F.lit(UNKNOWN_SIZE)), F.lit(1)).cast("double"))
     counts = counts.where(F.col(term).isNotNull() & F.col(record).isNotNull())
     rows = counts.groupBy(term).agg(F.sum(tf).cast("double").alias("__r"), F.count("*").alias("n_records"))
-    total = sized.agg(F.sum(size).alias("__n"))
-    out = counts.join(sized, record).join(rows, term).crossJoin(F.broadcast(total))
+    out = counts.join(sized, record).join(rows, term).withColumn("__n", sized.agg(F.sum(size)).scalar())
     r, c, n = F.col("__r"), F.col(size), F.greatest("__n", "__r")
     expected = r * c / n
     plain = (F.col(tf) - expected) / F.sqrt(expected)
