@@ -44,7 +44,7 @@ _CUES = (
     # adverts
     r"Story continues below|- sponsored -|ADVERT - .*|Advertisement",
     # sidebars
-    r"Top offers this week|Most read|« Previous|Weather in .{1,40}: -?\d+ degrees|\S+ \d+ : \d+ \S+",
+    r"Top offers this week|Most read|« Previous|Weather in .{1,40}: -?\d+ degrees",
 )
 #: Cues of links to other pages, for blocks of few words.
 _TEASERS = r"(?:Related|Next|Read next|You may also like|Tags): .*|Read also .*|\d+\. (?:\p{Lu}|\d+ \p{L}+ ideas ).*"

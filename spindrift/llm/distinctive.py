@@ -24,7 +24,7 @@ def postings(index: DataFrame, word: str = "word", value: str = "value") -> Data
     """
     items = unpack(index.where(F.col(word).isNotNull()).select(F.col(word).alias("word"), F.col(value).alias("value")), "value")
     p = items.select("word", split_posting("item").alias("p")).where("p.url <> ''").select("word", "p.url", "p.positions")
-    return p.groupBy("word", "url").agg(F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).cast("long").alias("tf"))
+    return p.groupBy("word", "url").agg(F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long").alias("tf"))  # repeats collapse before the shuffle
 
 
 def residuals(counts: DataFrame, records: DataFrame, term: str = "word", record: str = "url", tf: str = "tf", size: str = "wordcount") -> DataFrame:
