@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,8 +195,8 @@ def consolidate_words(spark, base):
 
 
 def save_and_reload(spark, base):
-    at = tempfile.mkdtemp(prefix="saved-") + "/region" if checkpoint_dir(spark).startswith("/") and spark.sparkContext.master.startswith("local[") else f"{checkpoint_dir(spark)}/saved/region"
-    Dataset.from_table(table(spark, base, "region"), F.col("r_regionkey"), F.col("r_name")).save(at, overwrite=True)
+    at = f"{checkpoint_dir(spark)}/saved-{uuid.uuid4().hex}/region"
+    Dataset.from_table(table(spark, base, "region"), F.col("r_regionkey"), F.col("r_name")).save(at)
     return spark.read.parquet(at)
 
 
