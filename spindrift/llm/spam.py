@@ -34,7 +34,7 @@ _ADDRESS, _OTHER = "<address>", "<other>"
 
 def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """``key, word, n``: words in lower case; any address is one symbol. Null bodies and null keys have none."""
-    words = F.transform(F.regexp_extract_all(F.lower(body), F.lit(_WORD), 0), lambda w: F.when(w.rlike(r"^(?:https?://|www\.)"), _ADDRESS).otherwise(w))
+    words = F.transform(F.regexp_extract_all(F.lower(body), F.lit(_WORD), 0), lambda w: F.when(F.contains(w, F.lit("/")) | F.contains(w, F.lit(".")), _ADDRESS).otherwise(w))
     return bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(words)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
@@ -42,7 +42,7 @@ def curves(counts: DataFrame, key: str = "id") -> DataFrame:
     """Per page: ``words``, ``slope`` and ``residual`` of its rank-frequency curve, and its counts of symbols."""
     spark = counts.sparkSession
     listed = spark.createDataFrame([(w, True) for w in sorted({w for ws in CLOSED.values() for w in ws} | {_ADDRESS})], "word string, listed boolean")
-    placed = counts.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word")))
+    placed = counts.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"))))  # ties may swap: their points are equal
     x, y = F.log(F.col("__rank").cast("double")), F.log(F.col("n").cast("double"))
     marked = placed.join(F.broadcast(listed), "word", "left")  # a fixed list of some 200 words
     per_page = marked.groupBy(key).agg(
