@@ -74,6 +74,11 @@ class Dataset:
         """Write the elements; an existing target is an error unless ``overwrite``."""
         self.df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
+    def view(self, name: str) -> str:
+        """Name the dataset for SQL in this session."""
+        self.df.createOrReplaceTempView(name)
+        return name
+
     # transformations
     def flat_map(self, fn: Fn) -> Dataset:
         """``fn`` gives an array of strings per element; duplicates are kept, null and empty arrays give nothing."""

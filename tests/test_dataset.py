@@ -77,6 +77,7 @@ def test_save(spark, tmp_path):
         ds(spark, ["b"]).save(at)
     ps(spark, [("k", "1")]).save(at, overwrite=True)
     assert spark.read.parquet(at).first().cells == {"0": "1"}
+    assert spark.table(ds(spark, ["a", "b"]).view("named")).count() == 2
 
 
 def test_dictionary_and_merge(spark):
