@@ -217,6 +217,6 @@ SQL = {
     "search_ranked": _sql_search("careful readers collect", True),
     "search_loose": _sql_search("of the page of", True, strict=False),
     "search_preview": f"SELECT url, content FROM {_PREVIEWS}",
-    "search_json": f"""SELECT to_json({{'results': list({{'URL': url, 'content': content}} ORDER BY matched DESC, score DESC, url)}}) AS json FROM {_PREVIEWS}""",
+    "search_json": f"""SELECT CAST(to_json({{'results': list({{'URL': url, 'content': content}} ORDER BY matched DESC, score DESC, url)}}) AS VARCHAR) AS json FROM {_PREVIEWS}""",
     "image_search": "SELECT * FROM (VALUES ('http://a.test/1.jpg', 3, 'a cat'), ('http://a.test/2.png', 1, 'No alt text available'), ('http://a.test/6.jpeg', 1, 'No alt text available')) t(url, n, alt)",
 }

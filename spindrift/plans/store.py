@@ -115,7 +115,7 @@ SQL = {
     "log_raw": f"SELECT * FROM {_LOG}",
     "log_put": f"SELECT key, col, arg_max(value, seq) AS value FROM (SELECT * FROM {_LOG} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'click', c_name, 1000000000 + c_custkey FROM customer WHERE c_custkey <= 150) GROUP BY key, col",
     "log_counts": " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS versions, count(DISTINCT id) AS live FROM {t}" for t in ("content", "crawl", "outdegrees")),
-    "current_content": f"SELECT id, url, wordcount, seq, length(page) AS n_chars FROM {SQL_PAGES}",
+    "current_content": f"SELECT id, url, wordcount, seq, CAST(length(page) AS INTEGER) AS n_chars FROM {SQL_PAGES}",
     "current_crawl": f"SELECT id, url, responsecode, seq {_CURRENT.format('crawl')}",
     "compact_content": f"SELECT id, url, seq {_CURRENT.format('content')}",
     "rename_and_delete": "SELECT * FROM region",

@@ -178,7 +178,7 @@ _CODE = r"regexp_replace(html, '(?:<style.*?>.*?</style.*?>)|(?:<script.*?>(?s:.
 _A = r"""<[Aa][^>]*[Hh][Rr][Ee][Ff]=["'']?([^\s"''<>]+)["'']?[^>]*>([^<]*)</[Aa]>"""
 _IMG = r"""<[Ii][Mm][Gg][^>]*[Ss][Rr][Cc]=["'']?([^\s"''<>]+)["'']?[^>]*>"""
 _ANCHORS = rf"""(SELECT id, url, pos, regexp_replace(href, '#.*$', '') AS href, anchor FROM (
-    SELECT id, url, generate_subscripts(hrefs, 1) - 1 AS pos, unnest(hrefs) AS href, unnest(texts) AS anchor
+    SELECT id, url, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnest(hrefs) AS href, unnest(texts) AS anchor
     FROM (SELECT id, url, regexp_extract_all({_CODE}, '{_A}', 1) AS hrefs, regexp_extract_all({_CODE}, '{_A}', 2) AS texts FROM {_HTML}))
     WHERE NOT regexp_matches(href, '\.(?:jpg|jpeg|gif|png|txt|pdf)$', 'i'))"""
 _P = _sql_part("url")
@@ -190,7 +190,7 @@ SQL = {
     "parse_url_parts": f"SELECT url, {', '.join(f'{v} AS {k}' for k, v in _P.items())} FROM {_SEEN}",
     "url_hosts": f"SELECT url, nullif({sql_host('url')}, '') AS h, {sql_key('url')} AS k FROM {_SEEN}",
     "normalize_links": f"SELECT id, pos, {_sql_normalize('item', 'url')} AS link FROM {_LINKS}",
-    "normalize_relative": f"""SELECT link, count(whole) AS n, sum(length(whole)) AS chars, min(whole) AS first, max(whole) AS last FROM (
+    "normalize_relative": f"""SELECT link, count(whole) AS n, CAST(sum(length(whole)) AS BIGINT) AS chars, min(whole) AS first, max(whole) AS last FROM (
         SELECT link, {_sql_normalize('link', 'url')} AS whole FROM (SELECT url FROM outdegrees WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1) o,
         (VALUES ('/a/b?c'), ('d.html'), ('../e'), ('../../../../../../f'), ('..'), ('//x.test/y'), ('//x.test/y?q=1'), (''), ('?q=2')) f(link) WHERE url IS NOT NULL) GROUP BY link""",
     "strip_html": f"SELECT id, regexp_replace({_CODE}, '<[^>]*>', '', 'g') AS body FROM {_HTML}",
