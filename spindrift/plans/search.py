@@ -77,7 +77,7 @@ def pagerank_diff(spark, base):
 def pagerank_converged(spark, base):
     """Ranks once no page moves by 0.01 any more."""
     state = rank.page_rank(*_graph(spark, base), threshold=0.01)
-    return state.select("id", F.round("curr", 2).alias("curr"))
+    return state.select("id", F.round("curr", 6).alias("curr"))
 
 
 def pagerank_pct(spark, base):
@@ -212,6 +212,7 @@ SQL = {
     "pagerank_round1": f"{_sql_rounds(1)} SELECT id, round(curr, 6) AS curr, round(prev, 6) AS prev FROM r1",
     "pagerank_k": f"{_sql_rounds(4)} SELECT id, round(curr, 6) AS curr, round(prev, 6) AS prev FROM r4",
     "pagerank_diff": f"{_sql_rounds(3)} SELECT round(max(abs(curr - prev)), 6) AS most, count(*) FILTER (abs(curr - prev) <= 0.1) AS still, count(*) AS n FROM r3",
+    "pagerank_converged": _sql_until(40, "max(abs(curr - prev)) < 0.01", 6),
     "pagerank_pct": _sql_until(12, "count(*) FILTER (abs(curr - prev) <= 0.1) >= floor(count(*) * 0.75 + 0.5)", 6),
     **{name: _sql_search(terms, False) for name, terms in _TERMS.items()},
     "search_ranked": _sql_search("careful readers collect", True),
