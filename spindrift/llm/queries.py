@@ -15,6 +15,7 @@ from spindrift.llm.fusion import K, fuse
 from spindrift.llm.neardup import classes, expand, near_duplicates
 from spindrift.llm.packing import pack
 from spindrift.llm.spam import score_pages
+from spindrift.llm.sqltext import P2_BODIES, P2_FOUND, P3_FOUND, P3_SCORES, P6_FOUND, reading_levels
 from spindrift.operators.packed import unpack
 from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_domain, sql_key
@@ -172,6 +173,7 @@ _SCORES = f"""(SELECT p.id, coalesce(positions, 0) AS positions, coalesce(in_lin
 _PARTS = " + ".join(f"CAST(round(1e12 / ({K} + rank() OVER (ORDER BY {c} DESC NULLS LAST))) AS BIGINT)" for c in ("positions", "in_links", "out_links", "rank"))
 
 SQL: dict[str, str] = {
+    "p2_found": P2_FOUND, "p2_bodies": P2_BODIES, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p6_found": P6_FOUND, "p10_found": reading_levels(LEAST_WORDS),
     "p4_found": f"SELECT id FROM {_RANKED} QUALIFY row_number() OVER (PARTITION BY contributor ORDER BY rank DESC NULLS LAST, id) > ceil(round({SHARE} * count(*) OVER (), 9))",
     "p4_balanced": f"""WITH r AS MATERIALIZED (SELECT * FROM {_RANKED}), c AS MATERIALIZED (SELECT count(*) AS n FROM r WHERE contributor IS NOT NULL GROUP BY contributor),
         level AS MATERIALIZED (SELECT max(l) AS l FROM (SELECT l, greatest(1, ceil(round({SHARE} * (sum(least(n, l)) + (SELECT count(*) FROM r WHERE contributor IS NULL)), 9))) AS most FROM c, (SELECT unnest(range(1, (SELECT count(*) + 1 FROM r))) AS l) GROUP BY l) WHERE l <= most)
