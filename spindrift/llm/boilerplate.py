@@ -23,7 +23,15 @@ from spindrift.runtime import once
 SENTENCE_WORDS, STOP_DENSITY, LINKS_HIGH, LINKS_LOW, TEASER_WORDS = 8, 0.15, 0.5, 0.2, 12
 
 _LABEL = "(?:" + "|".join(sorted(NAVIGATION, key=lambda x: (-len(x), x))) + r"|Basket \(\d+\))"
-_STOPS = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted({w for ws in CLOSED.values() for w in ws}, key=lambda x: (-len(x), x))) + r")(?![\p{L}\p{N}])"
+
+
+def _by_first_letter(words: set[str]) -> str:
+    """One alternation per first letter, so that few alternatives are tried at the beginning of a word."""
+    letters = sorted({w[0] for w in words})
+    return "|".join(c + "(?:" + "|".join(sorted((w[1:] for w in words if w[0] == c), key=lambda x: (-len(x), x))) + ")" for c in letters)
+
+
+_STOPS = r"(?<![\p{L}\p{N}])(?:" + _by_first_letter({w for ws in CLOSED.values() for w in ws}) + r")(?![\p{L}\p{N}])"
 _BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 #: Set phrases of frame blocks (fixed values, whole blocks).
@@ -56,8 +64,8 @@ def blocks(page: Column) -> Column:
     return F.transform(F.split(page, "\n", -1), lambda x: F.regexp_replace(x, rf"^{_BLANK}+|{_BLANK}+$", ""))
 
 
-def _decide(x: Column) -> Column:
-    n_words = F.regexp_count(x, F.lit(r"[\p{L}\p{N}]+"))
+def _decide(block: Column) -> Column:
+    x, n_words = block["x"], block["n"]
     links = 1 - F.length(F.regexp_replace(x, rf"(?<![\p{{L}}\p{{N}}]){_LABEL}(?![\p{{L}}\p{{N}}])", "")) / F.greatest(F.length(x), F.lit(1))
     stops = F.regexp_count(F.lower(x), F.lit(_STOPS))
     return (
@@ -87,9 +95,10 @@ def classify(df: DataFrame, page: str = "page") -> DataFrame:
     """
     lined = df.withColumn("__lines", once(blocks(F.col(page))))
     # Runs of equal labels, decided ones (G, B) in turn with undecided ones; a column of its own, so that it is made once.
-    first = F.array_join(F.transform("__lines", _decide), "")
-    by_run = lined.withColumn("__runs", once(F.regexp_extract_all(first, F.lit("[SL_]+|G+|B+"), 0)))
-    return by_run.withColumn("__labels", once(F.array_join(F.transform("__runs", _settle), ""))).drop("__runs")
+    counted = F.transform("__lines", lambda x: F.struct(x.alias("x"), F.regexp_count(x, F.lit(r"[\p{L}\p{N}]+")).alias("n")))
+    first = F.array_join(F.transform("__counted", _decide), "")
+    by_run = lined.withColumn("__counted", once(counted)).withColumn("__runs", once(F.regexp_extract_all(first, F.lit("[SL_]+|G+|B+"), 0)))
+    return by_run.withColumn("__labels", once(F.array_join(F.transform("__runs", _settle), ""))).drop("__runs", "__counted")
 
 
 def frame_lines(df: DataFrame, key: str = "id", page: str = "page") -> DataFrame:

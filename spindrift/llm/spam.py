@@ -34,8 +34,10 @@ _ADDRESS, _OTHER = "<address>", "<other>"
 
 def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """``key, word, n``: words in lower case; any address is one symbol. Null bodies and null keys have none."""
-    words = F.transform(F.regexp_extract_all(F.lower(body), F.lit(_WORD), 0), lambda w: F.when(F.contains(w, F.lit("/")) | F.contains(w, F.lit(".")), _ADDRESS).otherwise(w))
-    return bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(words)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    found = F.regexp_extract_all(F.lower(body), F.lit(_WORD), 0)
+    each = bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(found)).alias("w"))
+    symbol = F.when(F.contains("w", F.lit("/")) | F.contains("w", F.lit(".")), _ADDRESS).otherwise(F.col("w"))
+    return each.select(key, symbol.alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def curves(counts: DataFrame, key: str = "id") -> DataFrame:
@@ -72,7 +74,7 @@ def divergences(pages: DataFrame, key: str = "id") -> DataFrame:
     count = lambda keep: F.aggregate("symbols", F.lit(0.0), lambda a, s: a + F.when(keep(s["word"] == _ADDRESS), s["n"]).otherwise(0.0)) / F.col("words")
     mixed = mixed.withColumns({"language": F.array_position("__mix", most).cast("int") - 1, "part": count(lambda a: ~a), "__addresses": count(lambda a: a)})
     mixed = mixed.withColumn("__pure", (most >= 0.9) & (F.col("words") >= REFERENCE_WORDS) & (F.col("__addresses") <= REFERENCE_ADDRESSES))
-    usual = mixed.where("__pure").groupBy("language").agg(F.percentile_approx("part", 0.5, 1000).alias("__usual"))
+    usual = mixed.where("__pure").groupBy("language").agg(F.percentile_approx("part", 0.5, 10_000).alias("__usual"))
     mixed = mixed.join(F.broadcast(usual), "language", "left")  # a row per language
     mixed = mixed.withColumn("__pure", F.coalesce(F.col("__pure") & (F.col("part") >= REFERENCE_PART * F.col("__usual")), F.lit(False)))
     # Mean distribution of each language's prose: at most one row per language and symbol.
@@ -112,8 +114,8 @@ def _norms(figures: DataFrame) -> list[tuple]:
     """
     prose = figures.where("prose").withColumn("cls", F.explode(F.array(_length_class(F.col("words")), F.lit(-1))))
     names = list(SPREADS)
-    middle = prose.groupBy("language", "cls").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in names])
-    apart = prose.join(F.broadcast(middle), ["language", "cls"]).groupBy("language", "cls").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"d_{c}") for c in names])
+    middle = prose.groupBy("language", "cls").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(f"m_{c}") for c in names])
+    apart = prose.join(F.broadcast(middle), ["language", "cls"]).groupBy("language", "cls").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 10_000).alias(f"d_{c}") for c in names])
     every = middle.join(apart, ["language", "cls"]).collect()
     usable = lambda k: [r for r in every if r["language"] == k and r["cls"] >= 0 and r["n"] >= CLASS_LEAST] or [r for r in every if r["language"] == k and r["cls"] < 0]
     out = []
