@@ -124,6 +124,12 @@ def root_domain(host: Column | str) -> Column:
     return F.regexp_extract(_c(host), r"([^.]*\.[^.]*|[^.]*)$", 1)
 
 
+def page_cap(domain: Column | str, usual: int = 200) -> Column:
+    """How many pages of a root domain are fetched: 10,000 of an authority, 1,000 of a host without a dot, else ``usual``."""
+    d = _c(domain)
+    return F.when(d.isin(*HUBS), F.lit(10_000)).when(~F.contains(d, F.lit(".")), F.lit(1_000)).otherwise(F.lit(usual))
+
+
 def followed(url: Column | str, suffixes: tuple[str, ...] = FOLLOWED) -> Column:
     """Whether the host of ``url`` ends in one of ``suffixes``; false for null."""
     return F.coalesce(F.regexp_extract(url_parts(url)["host"], r"([^.]*)$", 1).isin(*suffixes), F.lit(False))

@@ -79,8 +79,8 @@ def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataF
 
     ``seeds`` is ``url``; ``fetch`` gives ``url, responsecode, html, redirecturl`` for a frame of ``url`` and is the only
     part that may meet the outside; ``robots`` is ``host, robots``. A new url must follow its host's rules, match no
-    blocked pattern, have an allowed suffix, be new, and fit the domain's quota of pages over the whole crawl; within a
-    round the first by url stay. Returns the fetched pages (``url, responsecode, html, redirecturl, round``) and the
+    blocked pattern, have an allowed suffix, be new, and fit the domain's quota of pages over the whole crawl (``quota``,
+    more for authorities and hosts without a dot: :func:`web.page_cap`); within a round the first by url stay. Returns the fetched pages (``url, responsecode, html, redirecturl, round``) and the
     links (``url, link``) that were allowed.
     """
     rules = cut(robots.where("robots IS NOT NULL").groupBy("host").agg(F.max("robots").alias("robots")).select("host", web.robots_rules("robots").alias("rules")))
@@ -102,7 +102,7 @@ def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataF
         # Pages fetched before take their domain's first places, so that the quota holds over the whole crawl.
         placed = known.distinct().withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
         placed = placed.withColumn("__domain", web.root_domain(web.url_parts("url")["host"]))
-        queue = cut(within_quota(placed, "__domain", [F.col("__new").asc(), F.col("url").asc()], quota).where("__new = 1").select("url"))
+        queue = cut(within_quota(placed, "__domain", [F.col("__new").asc(), F.col("url").asc()], web.page_cap("__domain", quota)).where("__new = 1").select("url"))
         if not queue.limit(1).count():
             break
     return fetched, links

@@ -99,7 +99,7 @@ def allowed_suffix(spark, base):
 
 def domain_quota(spark, base):
     seen = current(table(spark, base, "crawl", "id", "host", "seq")).where("host IS NOT NULL").withColumn("domain", web.root_domain("host"))
-    return crawl.within_quota(seen, "domain", [F.col("seq").asc(), F.col("id").asc()], 200).select("id", "domain")
+    return crawl.within_quota(seen, "domain", [F.col("seq").asc(), F.col("id").asc()], web.page_cap("domain")).select("id", "domain")
 
 
 def frontier_bfs(spark, base):

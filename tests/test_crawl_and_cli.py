@@ -1,6 +1,7 @@
 import pytest
 
 from spindrift.cli import main
+from spindrift.functions import web
 from spindrift.operators import crawl
 from spindrift.operators.job import Job
 
@@ -29,6 +30,15 @@ def test_rounds(spark):
     assert ("http://a.org:80/x", "http://a.org:80/") in {(r.url, r.link) for r in links.collect()}
 
 
+def test_quota_by_kind_of_domain(spark):
+    pages = [(h, d, i) for h, d in (("en.wikipedia.org", "wikipedia.org"), ("intranet", "intranet"), ("a.org", "a.org")) for i in range(1100)]
+    site = spark.createDataFrame([(f"http://{h}:80/", 200, " ".join(f'<a href="/{i}">{i}</a>' for _, x, i in pages if x == d), None) for h, d in dict.fromkeys(p[:2] for p in pages)], "url string, responsecode int, html string, redirecturl string")
+    fetch = lambda queue: queue.join(site, "url", "left").na.fill({"responsecode": 404})
+    fetched, _ = crawl.run(site.select("url"), fetch, spark.createDataFrame([], "host string, robots string"), suffixes=("org", "intranet"))
+    got = {r.host: r["count"] for r in fetched.select(web.url_parts("url")["host"].alias("host")).groupBy("host").count().collect()}
+    assert got == {"en.wikipedia.org": 1101, "intranet": 1000, "a.org": 200}
+
+
 def test_seed():
     assert crawl.parse_seed(["http://a.test"]) == ("url", "http://a.test:80/")
     assert crawl.parse_seed(["https://a.test/x/y", "list"]) == ("url", "https://a.test:443/x/y")
