@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,21 +16,23 @@ from spindrift.runtime import cut, once
 REDIRECTS = (301, 302, 303, 307, 308)
 
 
-def frontier(seeds: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def frontier(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id, depth``: pages reached from the seeds, breadth first, with the round that first met them.
 
     Each round joins the new pages with the links, drops those seen, and is checkpointed; the loop ends with an empty
-    round. Links of a page without a row lead nowhere.
+    round; ``rounds`` that end before are an error. Links of a page without a row lead nowhere.
     """
     links = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     fresh = cut(seeds.select("id").where("id IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     seen = fresh
-    for depth in range(1, rounds + 1):
+    for depth in islice(count(1), rounds):
         met = fresh.select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()
         fresh = cut(met.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not fresh.limit(1).count():
             break
         seen = cut(seen.unionByName(fresh)) if depth % 8 == 0 else seen.unionByName(fresh)
+    else:
+        raise RuntimeError("pages are still met")
     return seen
 
 
@@ -74,7 +77,7 @@ def parse_seed(args: list[str]) -> tuple[str, str]:
     return "url", f"{scheme}://{authority}/{path if slash else ''}"
 
 
-def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataFrame, blocked: tuple[str, ...] = web.BLOCKED, suffixes: tuple[str, ...] = web.FOLLOWED, quota: int = 200, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataFrame, blocked: tuple[str, ...] = web.BLOCKED, suffixes: tuple[str, ...] = web.FOLLOWED, quota: int = 200, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Crawl in rounds: fetch the queue, take links and redirect targets, keep what may be fetched, until none is left.
 
     ``seeds`` is ``url``; ``fetch`` gives ``url, responsecode, html, redirecturl`` for a frame of ``url`` and is the only
@@ -86,7 +89,7 @@ def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataF
     rules = cut(robots.where("robots IS NOT NULL").groupBy("host").agg(F.max("robots").alias("robots")).select("host", web.robots_rules("robots").alias("rules")))
     queue = cut(seeds.select(web.normalize("url", F.lit("http://x/")).alias("url")).where("url IS NOT NULL").distinct())
     fetched = links = None
-    for number in range(rounds):
+    for number in islice(count(), rounds):
         got = cut(fetch(queue).select("url", "responsecode", "html", "redirecturl").withColumn("round", F.lit(number)))
         fetched = got if fetched is None else cut(fetched.unionByName(got))
         found = text.anchors(got.where(F.col("responsecode") == 200), "html", "url").select("url", once(web.normalize("href", "url")).alias("link"))
@@ -105,4 +108,6 @@ def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataF
         queue = cut(within_quota(placed, "__domain", [F.col("__new").asc(), F.col("url").asc()], web.page_cap("__domain", quota)).where("__new = 1").select("url"))
         if not queue.limit(1).count():
             break
+    else:
+        raise RuntimeError("urls are still queued")
     return fetched, links

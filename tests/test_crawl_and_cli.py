@@ -39,6 +39,16 @@ def test_quota_by_kind_of_domain(spark):
     assert got == {"en.wikipedia.org": 1101, "intranet": 1000, "a.org": 200}
 
 
+def test_too_few_rounds(spark):
+    seeds, edges = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    assert crawl.frontier(seeds, edges).count() == 4
+    with pytest.raises(RuntimeError):
+        crawl.frontier(seeds, edges, rounds=2)
+    site = spark.createDataFrame([(u, *v) for u, v in SITE.items()], "url string, responsecode int, html string, redirecturl string")
+    with pytest.raises(RuntimeError):
+        crawl.run(spark.createDataFrame([("http://a.org",)], "url string"), lambda q: q.join(site, "url", "left"), spark.createDataFrame([], "host string, robots string"), rounds=2)
+
+
 def test_seed():
     assert crawl.parse_seed(["http://a.test"]) == ("url", "http://a.test:80/")
     assert crawl.parse_seed(["https://a.test/x/y", "list"]) == ("url", "https://a.test:443/x/y")
