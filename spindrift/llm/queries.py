@@ -29,12 +29,12 @@ CAPACITY, LEAST_WORDS = 2048, 60
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
-    return frame_lines(pages(spark, base, "page"))
+    return frame_lines(pages(spark, base, "page", "url"))
 
 
 def page_bodies(spark: SparkSession, base: str) -> DataFrame:
     """``id, body``: the own text of each page."""
-    return bodies(pages(spark, base, "page"))
+    return bodies(pages(spark, base, "page", "url"))
 
 
 def p2_bodies(spark: SparkSession, base: str) -> DataFrame:

@@ -5,36 +5,46 @@ from __future__ import annotations
 from spindrift.llm import boilerplate as b
 from spindrift.llm import spam
 from spindrift.llm.difficulty import ROUNDS
-from spindrift.llm.words import CLOSED, NAVIGATION
-from spindrift.plans.sqltext import SQL_PAGES
+from spindrift.llm.words import CLOSED
+from spindrift.plans.sqltext import SQL_PAGES, sql_domain
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _re2(pattern: str) -> str:
-    """Without possessive quantifiers and the one look-ahead, which is a word's end before any rest."""
-    return _quoted(pattern.replace(r"(?![\p{L}\p{N}]).*", r"(?:[^\p{L}\p{N}].*)?").replace("*+", "*").replace("++", "+"))
-
-
 _TOKEN = r"[\p{L}\p{N}]+"
 _STOPS = "[" + ", ".join(_quoted(w) for w in sorted({w for ws in CLOSED.values() for w in ws})) + "]"
-#: Labels as runs of marked tokens: each token stands between two marks, so that only whole ones are taken out.
-_MARKED = "|".join(" ".join(f"\x01{w}\x01" for w in label.split(" ")) for label in sorted(NAVIGATION, key=lambda x: (-len(x), x))) + "|\x01Basket\x01 \\(\x01\\d+\x01\\)"
-_LINE = f"regexp_replace(line, {_quoted('^' + b._BLANK + '+|' + b._BLANK + '+$')}, '', 'g')"
-_LINKS = f"(1 - length(replace(regexp_replace(regexp_replace(x, '({_TOKEN})', chr(1) || '\\1' || chr(1), 'g'), {_quoted(_MARKED)}, '', 'g'), chr(1), ''))::DOUBLE / greatest(length(x), 1))"
-_LABELLED = f"""(SELECT id, string_agg(CASE WHEN x = '' THEN '_' WHEN regexp_full_match(x, {_re2('|'.join(b._CUES))}) THEN 'B'
-    WHEN regexp_full_match(x, {_re2(b._TEASERS)}) AND n <= {b.TEASER_WORDS} THEN 'B' WHEN contains(x, '://') THEN 'G'
-    WHEN length(x) >= {2 * b.SENTENCE_WORDS} AND n >= {b.SENTENCE_WORDS} AND s >= {b.STOP_DENSITY} * n THEN 'G'
-    WHEN length(x) > 200 OR {_LINKS} < {b.LINKS_LOW} THEN 'S' WHEN {_LINKS} < {b.LINKS_HIGH} THEN 'L' ELSE 'B' END, '' ORDER BY place) AS labels, list(x ORDER BY place) AS lines
-    FROM (SELECT id, place, x, len(regexp_extract_all(x, '{_TOKEN}')) AS n, len(list_filter(regexp_extract_all(lower(x), '{_TOKEN}'), lambda w: list_contains({_STOPS}, w))) AS s
-        FROM (SELECT id, place, {_LINE} AS x FROM (SELECT id, generate_subscripts(ls, 1) AS place, unnest(ls) AS line FROM (SELECT id, string_split(page, chr(10)) AS ls FROM {SQL_PAGES} WHERE page IS NOT NULL))))
-    GROUP BY id)"""
-_SETTLED = f"""(SELECT id, lines, array_to_string(list_transform(runs, lambda r, i: CASE WHEN coalesce(runs[i - 1][1] = 'G', false) OR coalesce(runs[i + 1][1] = 'G', false)
-    THEN translate(r, 'SL', 'GG') ELSE translate(r, 'SL', 'GB') END), '') AS labels FROM (SELECT id, lines, regexp_extract_all(labels, '[SL_]+|G+|B+') AS runs FROM {_LABELLED}))"""
-P2_FOUND = f"SELECT id, CAST(place AS INTEGER) AS line_no FROM (SELECT id, labels, unnest(range(1, len(lines) + 1)) AS place FROM {_SETTLED}) WHERE labels[place] = 'B'"
-P2_BODIES = f"""SELECT p.id, nullif(array_to_string(list_filter(lines, lambda x, i: labels[i] = 'G'), chr(10)), '') AS body FROM {SQL_PAGES} p LEFT JOIN {_SETTLED} s USING (id)"""
+_TRIM = _quoted(b._SPACES)
+_PIECE_CUT = r"regexp_replace(regexp_replace(regexp_replace(m, '^[^:]{1,20}: ', ''), '([\p{Ll})])(\p{Lu})', '\1' || chr(1) || '\2', 'g'), '\s*[|·•>»/,–]\s*|\s{2,}|\t', chr(1), 'g')"
+_MARKED = r"^.+[^\p{L}\p{N}]$"
+_WORDS = lambda k: f"array_to_string(string_split(m, ' ')[:{k}], ' ')"
+#: Common tables up to ``labelled(id, labels)`` and ``own(id, site, page)``: marks, the learned lexicon, both passes.
+_FRAME = f"""own AS MATERIALIZED (SELECT id, nullif({sql_domain('url')}, '') AS site, page FROM {SQL_PAGES}),
+    split AS (SELECT id, site, generate_subscripts(ls, 1) AS place, trim(unnest(ls), {_TRIM}) AS x, nullif(regexp_extract(site, '^([^.]{{3,}})', 1), '') AS name FROM (SELECT id, site, string_split(page, chr(10)) AS ls FROM own WHERE page IS NOT NULL)),
+    masked AS (SELECT id, site, place, x, regexp_replace(CASE WHEN name IS NULL THEN x ELSE replace(replace(x, upper(name[1]) || name[2:], '§'), name, '§') END, '[0-9]+', '0', 'g') AS m,
+        length(x) - length(replace(x, ' ', '')) + 1 AS n, len(list_filter(regexp_extract_all(lower(x), '{_TOKEN}'), lambda w: list_contains({_STOPS}, w))) AS s FROM split),
+    lined AS MATERIALIZED (SELECT *, (n >= {b.SENTENCE_WORDS} AND length(x) >= {2 * b.SENTENCE_WORDS} AND s >= {b.STOP_DENSITY} * n) OR (length(x) >= {b.CLOSED_LENGTH} AND regexp_matches(x, {_quoted(b._ENDING)})) AS sentence FROM masked),
+    pieces AS (SELECT *, CASE WHEN sentence OR x = '' THEN NULL ELSE list_filter(string_split({_PIECE_CUT}, chr(1)), lambda p: p <> '') END AS ps FROM lined),
+    marks AS MATERIALIZED (SELECT id, site, place, {b.LINE} AS kind, m AS mark, 0 AS size FROM lined WHERE x <> ''
+        UNION ALL SELECT id, site, place, {b.LONG_OPENING}, {_WORDS(4)}, 0 FROM lined WHERE x <> '' AND n > 5
+        UNION ALL SELECT id, site, place, {b.OPENING}, m[:strpos(m, ':')], 0 FROM lined WHERE NOT sentence AND strpos(m, ':') BETWEEN 2 AND {b.LABEL} AND strpos(m, ':') < length(m)
+        UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(2)}, 0 FROM lined WHERE NOT sentence AND n > 2
+        UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(1)} || ' ', 0 FROM lined WHERE NOT sentence AND n > 1 AND regexp_matches({_WORDS(1)}, {_quoted(_MARKED)})
+        UNION ALL SELECT id, site, place, {b.PIECES}, p, length(p) FROM (SELECT id, site, place, unnest(ps) AS p FROM pieces WHERE len(ps) > 1 OR length(m) <= {b.PIECE}) WHERE length(p) <= {b.PIECE}),
+    sized AS (SELECT site, count(*) AS pages FROM own WHERE page IS NOT NULL AND site IS NOT NULL GROUP BY site),
+    counted AS (SELECT kind, mark, count(DISTINCT id) AS k, any_value(pages) AS pages FROM marks JOIN sized USING (site) GROUP BY kind, mark, site),
+    asked AS (SELECT *, greatest({b.PART_LEAST}, CASE WHEN kind IN ({b.OPENING}, {b.LONG_OPENING}) THEN {b.LIFT} * sum(k) OVER (PARTITION BY kind, mark) / (SELECT sum(pages) FROM sized)::DOUBLE ELSE 0 END) AS part FROM counted),
+    lexicon AS MATERIALIZED (SELECT kind, mark, share FROM (SELECT kind, mark, coalesce(sum(k) FILTER (pages >= {b.SITE_LEAST} AND k >= {b.PAGES_LEAST} AND floor((20 * k)::DOUBLE / pages) / 20 >= part - 1e-9), 0)::DOUBLE / sum(k) FILTER (pages >= {b.SITE_LEAST}) AS share
+        FROM asked GROUP BY kind, mark) WHERE share >= {b.SOME}),
+    found AS (SELECT id, place, max(share) FILTER (kind = {b.LINE}) AS line, max(share) FILTER (kind = {b.OPENING}) AS opening, max(share) FILTER (kind = {b.LONG_OPENING}) AS long, sum(size) FILTER (kind = {b.PIECES} AND share >= {b.SURE}) AS dense FROM marks JOIN lexicon USING (kind, mark) GROUP BY id, place),
+    judged AS (SELECT id, place, x, sentence OR contains(x, '://') AS plain, coalesce(line, 0) AS line, coalesce(opening, 0) AS opening, coalesce(long, 0) AS long, coalesce(dense, 0) / greatest(1, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0))::DOUBLE AS density FROM pieces LEFT JOIN found USING (id, place)),
+    first AS (SELECT id, string_agg(CASE WHEN x = '' THEN '_' WHEN line >= {b.SURE} OR long >= {b.SURE} OR opening >= {b.SURE_OPENING} OR density >= {b.SURE} THEN 'B' WHEN plain THEN 'G' WHEN greatest(density, line, opening) >= {b.SOME} THEN 'L' ELSE 'S' END, '' ORDER BY place) AS letters FROM judged GROUP BY id),
+    labelled AS MATERIALIZED (SELECT id, array_to_string(list_transform(runs, lambda r, i: CASE WHEN coalesce(runs[i - 1][1] = 'G', false) OR coalesce(runs[i + 1][1] = 'G', false)
+        THEN translate(r, 'SL', 'GG') ELSE translate(r, 'SL', 'GB') END), '') AS labels FROM (SELECT id, regexp_extract_all(letters, '[SL_]+|G+|B+') AS runs FROM first))"""
+_BODIES = f"""SELECT id, nullif(array_to_string(list_transform(list_filter(string_split(page, chr(10)), lambda x, i: labels[i] = 'G'), lambda x: trim(x, {_TRIM})), chr(10)), '') AS body FROM own LEFT JOIN labelled USING (id)"""
+P2_FOUND = f"WITH {_FRAME} SELECT id, CAST(place AS INTEGER) AS line_no FROM (SELECT id, labels, unnest(range(1, length(labels) + 1)) AS place FROM labelled) WHERE labels[place] = 'B'"
+P2_BODIES = f"WITH {_FRAME} {_BODIES}"
 
 
 def reading_levels(least: int) -> str:
@@ -64,7 +74,7 @@ _FIGURES = tuple(spam.SPREADS)
 _MIDDLE = ", ".join(f"quantile_disc({c}, 0.5) AS m_{c}" for c in _FIGURES)
 _APART = ", ".join(f"greatest(1.4826 * quantile_disc(abs({c} - m_{c}), 0.5), {s}) AS s_{c}" for c, s in spam.SPREADS.items())
 #: Common tables up to ``flagged(id)``: the pages that are spam, from curves, divergences and norms as the operator has them.
-_SPAM = f"""WITH bodies AS MATERIALIZED (SELECT id, body FROM ({P2_BODIES}) WHERE body IS NOT NULL),
+_SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIES}) WHERE body IS NOT NULL),
     tokens AS (SELECT id, unnest(regexp_extract_all(lower(body), '(?:https?://|www\\.)\\S+|{_TOKEN}')) AS w FROM bodies),
     counts AS MATERIALIZED (SELECT id, CASE WHEN contains(w, '/') OR contains(w, '.') THEN '<address>' ELSE w END AS word, count(*) AS n FROM tokens GROUP BY 1, 2),
     curves AS MATERIALIZED (SELECT id, CAST(sum(n) AS DOUBLE) AS words, coalesce(regr_slope(y, x), 0) AS slope, coalesce(sqrt(greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x), 0) / count(*)), 0) AS residual

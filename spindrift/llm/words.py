@@ -13,11 +13,3 @@ CLOSED = {
     "es": "el la los las un una de del y es son en que se por con para sin no cada su al lo como más o quién qué".split(),
     "fr": "le la les un une des du de et est sont en que qui dans pour par sur avec sans ne pas chaque ce cette il elle on nous vous au aux".split(),
 }
-
-#: Labels of navigation links as they stand in menus (fixed values).
-NAVIGATION = (
-    "About us|Archive|Archiv|Archivo|Agenda|Aktuelles|Anmelden|Aviso legal|Ayuda|Blog|Buscar|Careers|Cesta|Contact|Contacto|Datenschutz|"
-    "Downloads|Entrar|Events|FAQ|Forum|Gallery|Help|Hilfe|Home|Impressum|Inicio|Kontakt|Login|My account|News|Noticias|Partners|Press|"
-    "Privacidad|Quiénes somos|Register|Search|Shop|Site map|Startseite|Suche|Termine|Topics|Videos|Warenkorb|Über uns|"
-    "Accueil|Actualités|Aide|Connexion|Mentions légales|Panier|Recherche"
-).split("|")
