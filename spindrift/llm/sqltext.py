@@ -77,8 +77,12 @@ _APART = ", ".join(f"greatest(1.4826 * quantile_disc(abs({c} - m_{c}), 0.5), {s}
 _SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIES}) WHERE body IS NOT NULL),
     tokens AS (SELECT id, unnest(regexp_extract_all(lower(body), '(?:https?://|www\\.)\\S+|{_TOKEN}')) AS w FROM bodies),
     counts AS MATERIALIZED (SELECT id, CASE WHEN contains(w, '/') OR contains(w, '.') THEN '<address>' ELSE w END AS word, count(*) AS n FROM tokens GROUP BY 1, 2),
-    curves AS MATERIALIZED (SELECT id, CAST(sum(n) AS DOUBLE) AS words, coalesce(regr_slope(y, x), 0) AS slope, coalesce(sqrt(greatest(regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x), 0) / count(*)), 0) AS residual
-        FROM (SELECT id, n, ln(n) AS y, ln(row_number() OVER (PARTITION BY id ORDER BY n DESC)) AS x FROM counts) GROUP BY id HAVING sum(n) >= {spam.LEAST_WORDS}),
+    tied AS (SELECT id, ln(n) AS y, m, n * m AS tokens, sum(m) OVER (PARTITION BY id ORDER BY n DESC) + 0.5 AS b FROM (SELECT id, n::DOUBLE AS n, count(*)::DOUBLE AS m FROM counts GROUP BY id, n)),
+    placed AS (SELECT *, b - m AS a FROM tied),
+    summed AS (SELECT id, sum(tokens) AS words, sum(m) AS w, sum((b * ln(b) - b) - (a * ln(a) - a)) AS sx, sum(b * (ln(b) * ln(b) - 2 * ln(b) + 2) - a * (ln(a) * ln(a) - 2 * ln(a) + 2)) AS sxx, sum(m * y) AS sy, sum(m * y * y) AS syy, sum(y * ((b * ln(b) - b) - (a * ln(a) - a))) AS sxy FROM placed GROUP BY id),
+    fitted AS (SELECT id, words, w, sxx - sx * sx / w AS vxx, sxy - sx * sy / w AS vxy, syy - sy * sy / w AS vyy FROM summed),
+    sloped AS (SELECT *, CASE WHEN vxx > 1e-9 AND vyy > 1e-9 THEN vxy / vxx ELSE 0 END AS slope FROM fitted WHERE words >= {spam.LEAST_WORDS}),
+    curves AS MATERIALIZED (SELECT id, words, slope, sqrt(greatest(vyy - vxy * slope, 0) / w) AS residual FROM sloped),
     listed(word, lang) AS (VALUES {_PAIRS}), sole AS (SELECT word, min(lang) AS lang FROM listed GROUP BY word HAVING count(*) = 1),
     hits AS (SELECT id, lang, sum(n) AS h, sum(sum(n)) OVER (PARTITION BY id) AS total FROM counts JOIN sole USING (word) GROUP BY id, lang),
     mix AS MATERIALIZED (SELECT c.id, l.lang, CASE WHEN t.id IS NULL THEN (l.lang = 0)::INT::DOUBLE ELSE coalesce(h.h / h.total, 0) END AS share
@@ -97,14 +101,24 @@ _SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIE
     figures AS MATERIALIZED (SELECT id, words, slope, residual, language, prose, least(floor(2 * log2(words)), {spam.LONGEST_CLASS}) AS cls, coalesce(js, 0) + {_term('p_rest', 'q_rest')} + greatest(1 - q_rest - coalesce(q, 0), 0) / 2 AS divergence
         FROM (SELECT m.*, s.js, s.q, greatest(1 - coalesce(s.p, 0), 0) AS p_rest, e.q_rest FROM marked m LEFT JOIN sums s USING (id) JOIN ends e USING (id))),
     classed AS (SELECT * FROM figures WHERE prose UNION ALL SELECT * REPLACE (-1 AS cls) FROM figures WHERE prose),
-    middle AS MATERIALIZED (SELECT language, cls, count(*) AS size, {_MIDDLE} FROM classed GROUP BY language, cls),
-    norms AS MATERIALIZED (SELECT language AS l, cls AS c, any_value(size) AS size, {', '.join(f'any_value(m_{c}) AS m_{c}' for c in _FIGURES)}, {_APART} FROM classed JOIN middle USING (language, cls) GROUP BY language, cls),
-    ranked AS (SELECT f.*, n.*, row_number() OVER (PARTITION BY f.id ORDER BY (l <> language), (c < 0), abs(c - cls), c) AS place FROM figures f JOIN norms n ON n.l IN (f.language, 0) AND (c < 0 OR size >= {spam.CLASS_LEAST})),
-    scored AS (SELECT *, {', '.join(f'({c} - m_{c}) / s_{c} AS z_{c}' for c in _FIGURES)} FROM ranked WHERE place = 1),
-    flagged AS MATERIALIZED (SELECT id FROM scored WHERE z_divergence > {spam.FAR} OR (greatest(-z_slope, z_residual) > {spam.CURVE_FAR} AND z_divergence > {spam.CURVE_DIVERGENCE}))"""
+    twice AS (SELECT * FROM classed UNION ALL SELECT * REPLACE (-1 AS language) FROM classed),
+    middle AS MATERIALIZED (SELECT language, cls, count(*) AS size, {_MIDDLE} FROM twice GROUP BY language, cls),
+    norms AS MATERIALIZED (SELECT language AS l, cls AS c, any_value(size) AS size, {', '.join(f'any_value(m_{c}) AS m_{c}' for c in _FIGURES)}, {_APART} FROM twice JOIN middle USING (language, cls) GROUP BY language, cls),
+    ranked AS (SELECT f.*, n.*, row_number() OVER (PARTITION BY f.id ORDER BY (l <> language), (c < 0), abs(c - cls), c) AS place FROM figures f JOIN norms n ON n.l IN (f.language, -1) AND (c < 0 OR size >= {spam.CLASS_LEAST})),
+    first_scores AS MATERIALIZED (SELECT id, language, (divergence - m_divergence) / s_divergence AS z FROM ranked WHERE place = 1),
+    homes AS (SELECT word, sum(k) AS uses, max(k) FILTER (language >= 0) AS k, arg_max(language, CASE WHEN language >= 0 THEN k ELSE 0 END) AS of
+        FROM (SELECT word, CASE WHEN prose THEN language ELSE -1 END AS language, count(*) AS k FROM counts JOIN figures USING (id) GROUP BY 1, 2) GROUP BY word),
+    vocabulary AS (SELECT word, of FROM homes JOIN sizes s ON s.language = of WHERE k >= {spam.OWN} * uses AND k >= {spam.COMMON} * size),
+    strangers AS MATERIALIZED (SELECT id FROM (SELECT c.id, sum(CASE WHEN c.word <> '<address>' THEN n ELSE 0 END) AS whole, coalesce(sum(n) FILTER (c.word <> '<address>' AND of = f.language), 0) AS own
+        FROM counts c JOIN first_scores f ON f.id = c.id AND f.z > {spam.FAR} LEFT JOIN vocabulary v ON v.word = c.word GROUP BY c.id) WHERE own < {spam.KNOWN} * whole),
+    known AS (SELECT f.* REPLACE (CASE WHEN s.id IS NULL THEN language ELSE -1 END AS language), s.id IS NOT NULL AS strange FROM figures f LEFT JOIN strangers s ON s.id = f.id),
+    again AS (SELECT f.*, n.*, row_number() OVER (PARTITION BY f.id ORDER BY (l <> language), (c < 0), abs(c - cls), c) AS place FROM known f JOIN norms n ON n.l IN (f.language, -1) AND (c < 0 OR size >= {spam.CLASS_LEAST})),
+    scored AS MATERIALIZED (SELECT *, {', '.join(f'({c} - m_{c}) / s_{c} AS z_{c}' for c in _FIGURES if c != 'divergence')}, CASE WHEN NOT strange THEN (divergence - m_divergence) / s_divergence END AS z_divergence FROM again WHERE place = 1),
+    causes AS (SELECT *, coalesce(z_divergence > {spam.FAR}, false) AS far, coalesce(greatest(abs(z_slope), z_residual) > {spam.CURVE_FAR}, false) AS curve FROM scored),
+    flagged AS MATERIALIZED (SELECT id FROM causes WHERE far OR curve)"""
 P3_FOUND = f"{_SPAM} SELECT id FROM flagged"
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in (*_FIGURES, *(f"z_{c}" for c in _FIGURES)))
-P3_SCORES = f"{_SPAM} SELECT id, CAST(words AS BIGINT) AS words, {_ROUNDED}, id IN (SELECT id FROM flagged) AS flagged FROM scored"
+P3_SCORES = f"{_SPAM} SELECT id, CAST(words AS BIGINT) AS words, {_ROUNDED}, CASE WHEN far AND curve THEN 'both' WHEN far THEN 'divergence' WHEN curve THEN 'curve' END AS cause, far OR curve AS flagged FROM causes"
 P6_FOUND = f"""{_SPAM}, texts AS (SELECT id, list_filter(string_split_regex(regexp_replace(lower(body), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+', '', 'g'), '[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}]+'), lambda w: w <> '') AS ws FROM bodies WHERE id NOT IN (SELECT id FROM flagged)),
     runs AS MATERIALIZED (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM texts)),
     own AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
