@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spindrift.llm import boilerplate as b
 from spindrift.llm import spam
-from spindrift.llm.difficulty import ROUNDS
+from spindrift.llm.difficulty import TOLERANCE
 from spindrift.llm.words import CLOSED
 from spindrift.plans.sqltext import SQL_PAGES, sql_domain
 
@@ -47,21 +47,32 @@ P2_FOUND = f"WITH {_FRAME} SELECT id, CAST(place AS INTEGER) AS line_no FROM (SE
 P2_BODIES = f"WITH {_FRAME} {_BODIES}"
 
 
-def reading_levels(least: int) -> str:
-    """Levels by the same rounds over the document-word graph."""
+def reading_levels(least: int, unrolled: int = 14) -> str:
+    """Levels by the same rounds over the document-word graph; rounds after the last one keep its words."""
     docs = f"SELECT doc_id, text FROM documents WHERE regexp_full_match(lower(trim(lang)), 'en(?:[-_].*)?') AND len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) >= {least}"
+
+    def calibrated(i: int) -> str:
+        """``w{i}``: the means ``m{i}`` on the scale of the grades, or the words before where these had settled."""
+        fit = f"""read{i} AS (SELECT doc_id, sum(w * v) / sum(w) AS x FROM edges JOIN m{i} USING (word) JOIN own USING (doc_id) GROUP BY doc_id),
+        fit{i} AS MATERIALIZED (SELECT avg(x) AS x, avg(g) AS g, CASE WHEN var_pop(x) > 1e-12 AND covar_pop(x, g) > 0 THEN covar_pop(x, g) / var_pop(x) ELSE 1 END AS b FROM read{i} JOIN own USING (doc_id)),
+        n{i} AS MATERIALIZED (SELECT word, f.g + f.b * (v - f.x) AS v, den FROM m{i}, fit{i} f)"""
+        if i == 1:
+            return f"{fit}, w1 AS MATERIALIZED (SELECT *, false AS settled FROM n1)"
+        return f"""{fit}, moved{i} AS MATERIALIZED (SELECT sum(n.den * abs(n.v - o.v)) / sum(n.den) < {TOLERANCE} AND NOT bool_or(o.v IS NULL) AS settled FROM n{i} n LEFT JOIN w{i - 1} o USING (word)),
+        w{i} AS MATERIALIZED (SELECT * FROM w{i - 1} WHERE settled UNION ALL SELECT n.*, (SELECT settled FROM moved{i}) FROM n{i} n WHERE NOT (SELECT bool_or(settled) FROM w{i - 1}))"""
+
     rounds = "".join(
         f""", x{i} AS MATERIALIZED (SELECT doc_id, sum(w * v) / sum(w) AS x FROM edges JOIN w{i} USING (word) GROUP BY doc_id),
-        w{i + 1} AS MATERIALIZED (SELECT word, sum(w * coalesce(g, x)) / sum(w) AS v FROM edges LEFT JOIN own USING (doc_id) LEFT JOIN x{i} USING (doc_id) WHERE coalesce(g, x) IS NOT NULL GROUP BY word)"""
-        for i in range(1, ROUNDS)
+        m{i + 1} AS MATERIALIZED (SELECT word, sum(w * coalesce(g, x)) / sum(w) AS v, sum(w) AS den FROM edges LEFT JOIN own USING (doc_id) LEFT JOIN x{i} USING (doc_id) WHERE coalesce(g, x) IS NOT NULL GROUP BY word), {calibrated(i + 1)}"""
+        for i in range(1, unrolled)
     )
     return f"""WITH docs AS MATERIALIZED ({docs}), tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) AS word FROM docs),
         edges AS MATERIALIZED (SELECT doc_id, word, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS w FROM tokens GROUP BY doc_id, word),
         own AS MATERIALIZED (SELECT doc_id, avg(level) AS g FROM reading_labels WHERE doc_id IN (SELECT doc_id FROM docs) GROUP BY doc_id),
-        w1 AS MATERIALIZED (SELECT word, sum(w * g) / sum(w) AS v FROM edges JOIN own USING (doc_id) GROUP BY word){rounds},
-        read AS MATERIALIZED (SELECT doc_id, x FROM docs LEFT JOIN (SELECT doc_id, sum(w * v) / sum(w) AS x FROM edges JOIN w{ROUNDS} USING (word) GROUP BY doc_id) USING (doc_id)),
+        m1 AS MATERIALIZED (SELECT word, sum(w * g) / sum(w) AS v, sum(w) AS den FROM edges JOIN own USING (doc_id) GROUP BY word), {calibrated(1)}{rounds},
+        read AS MATERIALIZED (SELECT doc_id, x FROM docs LEFT JOIN (SELECT doc_id, sum(w * v) / sum(w) AS x FROM edges JOIN w{unrolled} USING (word) GROUP BY doc_id) USING (doc_id)),
         middle AS MATERIALIZED (SELECT CAST(round(g) AS INTEGER) AS level, quantile_disc(x, 0.5) AS m FROM read JOIN own USING (doc_id) GROUP BY 1),
-        bounds AS MATERIALIZED (SELECT level, (m + lag(m) OVER (ORDER BY m)) / 2 AS low FROM middle)
+        bounds AS MATERIALIZED (SELECT level, (m + lag(m) OVER (ORDER BY level)) / 2 AS low FROM middle)
         SELECT doc_id, CAST((SELECT max(level) FROM bounds WHERE low IS NULL OR x >= low) AS INTEGER) AS level FROM read"""
 
 
