@@ -26,9 +26,10 @@ from spindrift.runtime import cut, once
 
 #: Sentences: words, part of closed-class words, and characters where a closing mark stands in for the latter.
 SENTENCE_WORDS, STOP_DENSITY, CLOSED_LENGTH = 8, 0.15, 40
-#: A site can vouch for a mark that is on so many of its pages and on such a part of them, if it has so many pages. Openings
-#: must also be so many times as frequent there as over all pages.
-PAGES_LEAST, PART_LEAST, SITE_LEAST, LIFT = 4, 0.2, 10, 2.0
+#: A site can vouch for a mark that is on so many of its pages and on such a part of them, if it has so many pages. The mark
+#: must also be so many times as frequent there as over all pages (headings are as frequent on one site as on another);
+#: lines and pieces on this part of its pages need not be.
+PAGES_LEAST, PART_LEAST, SITE_LEAST, LIFT, ANYWAY = 4, 0.2, 10, 2.0, 0.5
 #: Share of a mark's occurrences on vouching sites from which it is frame by line or piece, by opening, or open to pass two.
 SURE, SURE_OPENING, SOME = 0.5, 0.6, 0.2
 #: Longest piece and opening label, and the greatest lexicon that is broadcast (16 bytes a mark; beyond it a shuffle).
@@ -80,14 +81,13 @@ def marks(rows: DataFrame, key: str = "id") -> DataFrame:
     colon = F.instr(m, ":")
     label = (colon > 1) & (colon <= LABEL) & (colon < F.length(m))
     short = F.array(
-        F.when(label, mark(OPENING, F.substring(m, F.lit(1), colon))),
         F.when(n > 2, mark(OPENING, words(2))),
         F.when((n > 1) & words(1).rlike(r"^.+[^\p{L}\p{N}]$"), mark(OPENING, F.concat(words(1), F.lit(" ")))),
     )
     pieces = F.filter(F.split(F.regexp_replace(m, r"^[^:]{1,20}: ", ""), _SEPARATORS, -1), lambda p: p != "")
     rows = rows.withColumn("__p", once(F.when(~F.col("sentence") & (F.col("x") != ""), pieces)))
     known = F.when((F.size("__p") > 1) | (F.length(m) <= PIECE), F.transform(F.filter("__p", lambda p: F.length(p) <= PIECE), lambda p: mark(PIECES, p, F.length(p))))
-    always = F.array(F.when(F.col("x") != "", mark(LINE, m)), F.when(n > 5, mark(LONG_OPENING, words(4))))
+    always = F.array(F.when(F.col("x") != "", mark(LINE, m)), F.when(n > 5, mark(LONG_OPENING, words(4))), F.when(label, mark(OPENING, F.substring(m, F.lit(1), colon))))
     none = F.array().cast("array<struct<kind:int,h:bigint,size:int>>")
     every = F.filter(F.concat(always, F.when(F.col("sentence"), none).otherwise(F.concat(short, F.coalesce(known, none)))), lambda s: s.isNotNull())
     plain = F.col("sentence") | F.contains("x", F.lit("://"))
@@ -110,7 +110,7 @@ def lexicon(marked: DataFrame, sites: DataFrame, key: str = "id") -> DataFrame:
     steps = counts.groupBy("h", step.alias("step")).agg(F.sum("k").alias("k"), F.max("kind").alias("kind"))
     by_mark = steps.groupBy("h").agg(F.max("kind").alias("kind"), F.sum("k").alias("uses"), F.sum(F.when(F.col("step") >= -1, F.col("k"))).alias("__seen"), F.collect_list(F.struct("step", "k")).alias("__steps"))
     usual = F.col("uses") / F.lit(float(max(total, 1)))
-    asked = F.greatest(F.lit(PART_LEAST), F.when(F.col("kind").isin(OPENING, LONG_OPENING), LIFT * usual).otherwise(F.lit(0.0)))
+    asked = F.greatest(F.lit(PART_LEAST), F.when(F.col("kind").isin(OPENING, LONG_OPENING), LIFT * usual).otherwise(F.least(LIFT * usual, F.lit(ANYWAY))))
     vouched = F.aggregate("__steps", F.lit(0).cast("bigint"), lambda a, s: a + F.when((s["step"] >= 0) & (s["step"] / 20 >= asked - 1e-9), s["k"]).otherwise(0))
     return by_mark.select("h", "kind", (vouched / F.col("__seen")).alias("share"), "uses").where(F.col("share") >= SOME)
 
@@ -169,7 +169,7 @@ def bodies(df: DataFrame, key: str = "id", page: str = "page", url: str = "url")
     Keys and pages as in :func:`frame_lines`; null keys are left out, a null page has a null body.
     """
     own = df.where(F.col(key).isNotNull()).select(key, page, url)
-    marked = own.select(key, page).join(labels(own, key, page, url), key, "left")
+    marked = own.select(key, page).join(cut(labels(own, key, page, url)), key, "left")  # labels are short; texts are read again
     text = marked.withColumn("__lines", once(F.split(page, "\n", -1)))
     kept = F.transform(F.filter("__lines", lambda x, i: F.substr("labels", i + 1, F.lit(1)) == "G"), lambda x: F.btrim(x, F.lit(_SPACES)))
     return text.select(key, once(F.nullif(F.array_join(kept, "\n"), F.lit(""))).alias("body"))
