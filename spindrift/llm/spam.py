@@ -1,7 +1,7 @@
 """Pages that are keywords, links or product tags rather than sentences.
 
 Each page gives a rank-frequency curve (words by falling count, ranked by an SQL window), whose slope and residual are
-fitted in logarithms, and a divergence: the Jensen-Shannon distance between its distribution over closed-class words,
+fitted in logarithms and whose extent is the logarithm of its last rank over that of the page's words, and a divergence: the Jensen-Shannon distance between its distribution over closed-class words,
 addresses and "any other word" and that of prose in the page's own languages, mixed as the page mixes them. Prose at
 comparable lengths gives median and spread of each figure; a page is flagged where any of them stands far outside:
 the curve in any language, the divergence only in a language that is the page's own. Whether it is, is learned: words
@@ -24,10 +24,10 @@ LANGUAGES = tuple(CLOSED)
 #: Fewer words than this are no curve. Pages of the reference have at least so many, a closed-class part of at least so
 #: much of their language's median, and addresses for at most so many of their words.
 LEAST_WORDS, REFERENCE_WORDS, REFERENCE_PART, REFERENCE_ADDRESSES = 12, 64, 0.75, 0.05
-#: Robust z-scores from which a page is flagged: by divergence, by slope (either way) or residual.
+#: Robust z-scores from which a page is flagged: by divergence; by slope (either way), residual or a small extent.
 FAR, CURVE_FAR = 3.8, 6.0
 #: Least spreads, so that a class of nearly equal pages doesn't make small differences extreme.
-SPREADS = {"divergence": 0.02, "slope": 0.05, "residual": 0.03}
+SPREADS = {"divergence": 0.02, "slope": 0.05, "residual": 0.03, "extent": 0.02}
 #: Length classes are half powers of two, up to 2 ** 9 words; classes of fewer reference pages take the nearest other.
 LONGEST_CLASS, CLASS_LEAST = 18, 20
 #: A language's own words: on such a part of its prose pages, and with such a part of their pages being its prose. A page
@@ -56,7 +56,7 @@ def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataF
 
 
 def curves(counts: DataFrame, key: str = "id") -> DataFrame:
-    """Per page: ``words``, ``slope`` and ``residual`` of its rank-frequency curve, its counts of symbols and its words by count.
+    """Per page: ``words``, ``slope``, ``residual`` and ``extent`` of its rank-frequency curve, its counts of symbols and its words by count.
 
     Words of equal count stand at consecutive ranks; the sums of ``ln(rank)`` and its square over such a stretch are taken
     from their integrals between the half ranks around it, so that the window runs over a page's distinct counts only.
@@ -82,19 +82,19 @@ def curves(counts: DataFrame, key: str = "id") -> DataFrame:
     w = F.col("__w")
     vxx, vxy, vyy = F.col("sxx") - F.col("sx") * F.col("sx") / w, F.col("sxy") - F.col("sx") * F.col("sy") / w, F.col("syy") - F.col("sy") * F.col("sy") / w
     slope = F.when((vxx > 1e-9) & (vyy > 1e-9), vxy / vxx).otherwise(0.0)
-    fitted = sums.select(key, "words", "symbols", "by_count", "hits", slope.alias("slope"), vxx.alias("__vxx"), vxy.alias("__vxy"), vyy.alias("__vyy"), "__w")
+    fitted = sums.select(key, "words", "symbols", "by_count", "hits", slope.alias("slope"), vxx.alias("__vxx"), vxy.alias("__vxy"), vyy.alias("__vyy"), "__w", (F.log(F.col("__w") + 1) / F.log(F.col("words") + 1)).alias("extent"))
     residual = F.sqrt(F.greatest(F.col("__vyy") - F.col("__vxy") * F.col("slope"), F.lit(0.0)) / F.col("__w"))
-    return fitted.select(key, "words", "slope", residual.alias("residual"), "symbols", "hits", "by_count")
+    return fitted.select(key, "words", "slope", residual.alias("residual"), "extent", "symbols", "hits", "by_count")
 
 
 def divergences(pages: DataFrame, key: str = "id") -> DataFrame:
-    """``key, words, slope, residual``, ``language``, ``prose`` and ``divergence`` of the rows of :func:`curves`, materialised."""
+    """``key, words, slope, residual, extent``, ``language``, ``prose`` and ``divergence`` of the rows of :func:`curves`, materialised."""
     whole = F.col("hits")[0]
     for k in range(1, len(LANGUAGES)):
         whole = whole + F.col("hits")[k]
     # A page without any such word is measured against the first language, if it has that language's words.
     mix = F.when(whole > 0, F.transform("hits", lambda h: h / whole)).otherwise(F.array(F.lit(1.0), *[F.lit(0.0)] * (len(LANGUAGES) - 1)))
-    narrow = pages.select(key, "words", "slope", "residual", "symbols", once(mix).alias("__mix"))
+    narrow = pages.select(key, "words", "slope", "residual", "extent", "symbols", once(mix).alias("__mix"))
     most = F.array_max("__mix")
     count = lambda keep: F.aggregate("symbols", F.lit(0.0), lambda a, s: a + F.when(keep(s["word"] == _ADDRESS), s["n"]).otherwise(0.0)) / F.col("words")
     mixed = narrow.withColumns({"language": F.array_position("__mix", most).cast("int") - 1, "part": count(lambda a: ~a), "__addresses": count(lambda a: a)})
@@ -126,7 +126,7 @@ def divergences(pages: DataFrame, key: str = "id") -> DataFrame:
     p_rest = F.greatest(1 - over(lambda x: x["p"]), F.lit(0.0))
     unseen = F.greatest(1 - q_rest - over(lambda x: x["q"]), F.lit(0.0))
     value = over(lambda x: term(x["p"], x["q"])) + term(p_rest, q_rest) + unseen / 2
-    return cut(pairs.select(key, "words", "slope", "residual", "language", F.col("__pure").alias("prose"), value.alias("divergence")))
+    return cut(pairs.select(key, "words", "slope", "residual", "extent", "language", F.col("__pure").alias("prose"), value.alias("divergence")))
 
 
 def _length_class(words: Column) -> Column:
@@ -175,7 +175,7 @@ def _strangers(pages: DataFrame, figures: DataFrame, suspects: DataFrame, key: s
 
 
 def score_pages(spark: SparkSession, bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
-    """``key``, the three figures, their robust z-scores (``z_…``), ``cause`` and ``flagged`` for each page with a body.
+    """``key``, the four figures, their robust z-scores (``z_…``), ``cause`` and ``flagged`` for each page with a body.
 
     ``cause`` is ``curve``, ``divergence``, ``both`` or null. Pages of fewer than :data:`LEAST_WORDS` words and null or
     empty bodies get no row: there is no curve to speak of. A page in a language without closed-class words here has a
@@ -197,6 +197,6 @@ def score_pages(spark: SparkSession, bodies: DataFrame, key: str = "id", body: s
     known = classed.join(strangers, key, "left").withColumn("language", F.when(F.col("__strange"), -1).otherwise(F.col("language")))
     out = scored(known).withColumn("z_divergence", F.when(F.col("__strange").isNull(), F.col("z_divergence")))
     far = F.coalesce(F.col("z_divergence") > FAR, F.lit(False))
-    curve = F.coalesce(F.greatest(F.abs("z_slope"), F.col("z_residual")) > CURVE_FAR, F.lit(False))
+    curve = F.coalesce(F.greatest(F.abs("z_slope"), F.col("z_residual"), -F.col("z_extent")) > CURVE_FAR, F.lit(False))
     cause = F.when(far & curve, "both").when(far, "divergence").when(curve, "curve")
     return out.select(key, "words", *names, *[f"z_{c}" for c in names], cause.alias("cause"), (far | curve).alias("flagged"))

@@ -48,4 +48,31 @@ def test_empty_and_lonely(spark):
 
 def test_counts(spark):
     df = spark.createDataFrame([("a", "A a http://x.test/a?b www.y.test é")], "id string, body string")
-    assert {r.word: r.n for r in word_counts(df).collect()} == {"a": 2, "<address>": 2, "é": 1}
+    assert sorted((r.word or "", r.n) for r in word_counts(df).collect()) == [("", 1), ("<address>", 2), ("a", 2)]
+    chinese = spark.createDataFrame([("a", "我们我们 you")], "id string, body string")
+    assert sorted(r.n for r in word_counts(chinese).collect()) == [1, 2, 2]
+
+
+POLISH = "i w na z do się nie jest że to".split()
+RUSSIAN = "и в не на что он с как это по".split()
+CHINESE = "的 一 是 不 了 在 有 和 这 我".split()
+
+
+def strange(r, function, nouns, n, gap=" "):
+    """Prose of a language without a list here: two function words to each noun."""
+    return gap.join(gap.join([r.choice(function), r.choice(nouns), function[min(int(r.paretovariate(1)) - 1, 9)]]) for _ in range(n)) + "."
+
+
+def test_other_languages(spark):
+    r = random.Random(5)
+    letters = {"pl": "abcdeghijklłmnoóprsśtuwyzżźćęą", "ru": "абвгдежзийклмнопрстуфхцчшщыьэюя", "zh": "".join(map(chr, range(0x5000, 0x5000 + 600)))}
+    nouns = {k: ["".join(r.choice(v) for _ in range(r.randint(4, 9) if k != "zh" else 1)) for _ in range(300)] for k, v in letters.items()}
+    pages = {f"ok{i}": prose(r, r.randint(4, 20)) for i in range(240)}
+    for k, function in (("pl", POLISH), ("ru", RUSSIAN), ("zh", CHINESE)):
+        pages |= {f"{k}{i}": strange(r, function, nouns[k], r.randint(30, 80), "" if k == "zh" else " ") for i in range(3)}
+        few = nouns[k][:6]
+        pages |= {f"bad-{k}{i}": ", ".join(r.choice(few) for _ in range(150)) for i in range(3)}
+    scored = {x.id: x for x in score_pages(spark, spark.createDataFrame(list(pages.items()), "id string, body string")).collect()}
+    flagged = {k for k, v in scored.items() if v.flagged}
+    assert {k for k in pages if k.startswith("bad-")} == flagged
+    assert all(scored[k].cause == "curve" and scored[k].z_divergence is None for k in flagged)
