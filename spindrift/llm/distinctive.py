@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.operators.ordering import lookup
 from spindrift.operators.packed import split_posting, unpack
 
 #: The size of a record whose word count is unknown.
@@ -40,7 +41,8 @@ def residuals(counts: DataFrame, records: DataFrame, term: str = "word", record:
     sized = records.withColumn(size, F.greatest(F.coalesce(F.col(size), F.lit(UNKNOWN_SIZE)), F.lit(1)).cast("double"))
     counts = counts.where(F.col(term).isNotNull() & F.col(record).isNotNull())
     rows = counts.groupBy(term).agg(F.sum(tf).cast("double").alias("__r"), F.count("*").alias("n_records"))
-    out = counts.join(sized, record).join(rows, term).withColumn("__n", sized.agg(F.sum(size)).scalar())
+    # Words of many records own most rows: they are looked up apart.
+    out = lookup(counts.join(sized, record), rows, [term], "n_records").withColumn("__n", sized.agg(F.sum(size)).scalar())
     r, c, n = F.col("__r"), F.col(size), F.greatest("__n", "__r")
     expected = r * c / n
     plain = (F.col(tf) - expected) / F.sqrt(expected)

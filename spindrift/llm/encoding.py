@@ -19,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 16_384
+LEAF = 2048
 WINDOW = 64
 
 #: Where a piece must begin, by the characters on either side alone: a run of letters or digits ends at any other

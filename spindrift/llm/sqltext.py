@@ -28,13 +28,13 @@ _FRAME = f"""own AS MATERIALIZED (SELECT id, nullif({sql_domain('url')}, '') AS
     pieces AS (SELECT *, CASE WHEN sentence OR x = '' THEN NULL ELSE list_filter(string_split({_PIECE_CUT}, chr(1)), lambda p: p <> '') END AS ps FROM lined),
     marks AS MATERIALIZED (SELECT id, site, place, {b.LINE} AS kind, m AS mark, 0 AS size FROM lined WHERE x <> ''
         UNION ALL SELECT id, site, place, {b.LONG_OPENING}, {_WORDS(4)}, 0 FROM lined WHERE x <> '' AND n > 5
-        UNION ALL SELECT id, site, place, {b.OPENING}, m[:strpos(m, ':')], 0 FROM lined WHERE NOT sentence AND strpos(m, ':') BETWEEN 2 AND {b.LABEL} AND strpos(m, ':') < length(m)
+        UNION ALL SELECT id, site, place, {b.OPENING}, m[:strpos(m, ':')], 0 FROM lined WHERE strpos(m, ':') BETWEEN 2 AND {b.LABEL} AND strpos(m, ':') < length(m)
         UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(2)}, 0 FROM lined WHERE NOT sentence AND n > 2
         UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(1)} || ' ', 0 FROM lined WHERE NOT sentence AND n > 1 AND regexp_matches({_WORDS(1)}, {_quoted(_MARKED)})
         UNION ALL SELECT id, site, place, {b.PIECES}, p, length(p) FROM (SELECT id, site, place, unnest(ps) AS p FROM pieces WHERE len(ps) > 1 OR length(m) <= {b.PIECE}) WHERE length(p) <= {b.PIECE}),
     sized AS (SELECT site, count(*) AS pages FROM own WHERE page IS NOT NULL AND site IS NOT NULL GROUP BY site),
     counted AS (SELECT kind, mark, count(DISTINCT id) AS k, any_value(pages) AS pages FROM marks JOIN sized USING (site) GROUP BY kind, mark, site),
-    asked AS (SELECT *, greatest({b.PART_LEAST}, CASE WHEN kind IN ({b.OPENING}, {b.LONG_OPENING}) THEN {b.LIFT} * sum(k) OVER (PARTITION BY kind, mark) / (SELECT sum(pages) FROM sized)::DOUBLE ELSE 0 END) AS part FROM counted),
+    asked AS (SELECT *, greatest({b.PART_LEAST}, CASE WHEN kind IN ({b.OPENING}, {b.LONG_OPENING}) THEN usual ELSE least(usual, {b.ANYWAY}) END) AS part FROM (SELECT *, {b.LIFT} * sum(k) OVER (PARTITION BY kind, mark) / (SELECT sum(pages) FROM sized)::DOUBLE AS usual FROM counted)),
     lexicon AS MATERIALIZED (SELECT kind, mark, share FROM (SELECT kind, mark, coalesce(sum(k) FILTER (pages >= {b.SITE_LEAST} AND k >= {b.PAGES_LEAST} AND floor((20 * k)::DOUBLE / pages) / 20 >= part - 1e-9), 0)::DOUBLE / sum(k) FILTER (pages >= {b.SITE_LEAST}) AS share
         FROM asked GROUP BY kind, mark) WHERE share >= {b.SOME}),
     found AS (SELECT id, place, max(share) FILTER (kind = {b.LINE}) AS line, max(share) FILTER (kind = {b.OPENING}) AS opening, max(share) FILTER (kind = {b.LONG_OPENING}) AS long, sum(size) FILTER (kind = {b.PIECES} AND share >= {b.SURE}) AS dense FROM marks JOIN lexicon USING (kind, mark) GROUP BY id, place),
@@ -92,8 +92,8 @@ _SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIE
     placed AS (SELECT *, b - m AS a FROM tied),
     summed AS (SELECT id, sum(tokens) AS words, sum(m) AS w, sum((b * ln(b) - b) - (a * ln(a) - a)) AS sx, sum(b * (ln(b) * ln(b) - 2 * ln(b) + 2) - a * (ln(a) * ln(a) - 2 * ln(a) + 2)) AS sxx, sum(m * y) AS sy, sum(m * y * y) AS syy, sum(y * ((b * ln(b) - b) - (a * ln(a) - a))) AS sxy FROM placed GROUP BY id),
     fitted AS (SELECT id, words, w, sxx - sx * sx / w AS vxx, sxy - sx * sy / w AS vxy, syy - sy * sy / w AS vyy FROM summed),
-    sloped AS (SELECT *, CASE WHEN vxx > 1e-9 AND vyy > 1e-9 THEN vxy / vxx ELSE 0 END AS slope FROM fitted WHERE words >= {spam.LEAST_WORDS}),
-    curves AS MATERIALIZED (SELECT id, words, slope, sqrt(greatest(vyy - vxy * slope, 0) / w) AS residual FROM sloped),
+    sloped AS (SELECT *, CASE WHEN vxx > 1e-9 AND vyy > 1e-9 THEN vxy / vxx ELSE 0 END AS slope, ln(w + 1) / ln(words + 1) AS extent FROM fitted WHERE words >= {spam.LEAST_WORDS}),
+    curves AS MATERIALIZED (SELECT id, words, slope, sqrt(greatest(vyy - vxy * slope, 0) / w) AS residual, extent FROM sloped),
     listed(word, lang) AS (VALUES {_PAIRS}), sole AS (SELECT word, min(lang) AS lang FROM listed GROUP BY word HAVING count(*) = 1),
     hits AS (SELECT id, lang, sum(n) AS h, sum(sum(n)) OVER (PARTITION BY id) AS total FROM counts JOIN sole USING (word) GROUP BY id, lang),
     mix AS MATERIALIZED (SELECT c.id, l.lang, CASE WHEN t.id IS NULL THEN (l.lang = 0)::INT::DOUBLE ELSE coalesce(h.h / h.total, 0) END AS share
@@ -109,7 +109,7 @@ _SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIE
     expected AS (SELECT s.id, s.word, any_value(s.p) AS p, sum(share * coalesce(q, 0)) AS q FROM symbols s JOIN mix x ON x.id = s.id LEFT JOIN means m ON m.lang = x.lang AND m.word = s.word GROUP BY s.id, s.word),
     sums AS (SELECT id, sum({_term('p', 'q')}) AS js, sum(p) AS p, sum(q) AS q FROM expected GROUP BY id),
     ends AS (SELECT id, sum(share * rest) AS q_rest FROM mix JOIN rests USING (lang) GROUP BY id),
-    figures AS MATERIALIZED (SELECT id, words, slope, residual, language, prose, least(floor(2 * log2(words)), {spam.LONGEST_CLASS}) AS cls, coalesce(js, 0) + {_term('p_rest', 'q_rest')} + greatest(1 - q_rest - coalesce(q, 0), 0) / 2 AS divergence
+    figures AS MATERIALIZED (SELECT id, words, slope, residual, extent, language, prose, least(floor(2 * log2(words)), {spam.LONGEST_CLASS}) AS cls, coalesce(js, 0) + {_term('p_rest', 'q_rest')} + greatest(1 - q_rest - coalesce(q, 0), 0) / 2 AS divergence
         FROM (SELECT m.*, s.js, s.q, greatest(1 - coalesce(s.p, 0), 0) AS p_rest, e.q_rest FROM marked m LEFT JOIN sums s USING (id) JOIN ends e USING (id))),
     classed AS (SELECT * FROM figures WHERE prose UNION ALL SELECT * REPLACE (-1 AS cls) FROM figures WHERE prose),
     twice AS (SELECT * FROM classed UNION ALL SELECT * REPLACE (-1 AS language) FROM classed),
@@ -125,13 +125,18 @@ _SPAM = f"""WITH {_FRAME}, bodies AS MATERIALIZED (SELECT id, body FROM ({_BODIE
     known AS (SELECT f.* REPLACE (CASE WHEN s.id IS NULL THEN language ELSE -1 END AS language), s.id IS NOT NULL AS strange FROM figures f LEFT JOIN strangers s ON s.id = f.id),
     again AS (SELECT f.*, n.*, row_number() OVER (PARTITION BY f.id ORDER BY (l <> language), (c < 0), abs(c - cls), c) AS place FROM known f JOIN norms n ON n.l IN (f.language, -1) AND (c < 0 OR size >= {spam.CLASS_LEAST})),
     scored AS MATERIALIZED (SELECT *, {', '.join(f'({c} - m_{c}) / s_{c} AS z_{c}' for c in _FIGURES if c != 'divergence')}, CASE WHEN NOT strange THEN (divergence - m_divergence) / s_divergence END AS z_divergence FROM again WHERE place = 1),
-    causes AS (SELECT *, coalesce(z_divergence > {spam.FAR}, false) AS far, coalesce(greatest(abs(z_slope), z_residual) > {spam.CURVE_FAR}, false) AS curve FROM scored),
+    causes AS (SELECT *, coalesce(z_divergence > {spam.FAR}, false) AS far, coalesce(greatest(abs(z_slope), z_residual, -z_extent) > {spam.CURVE_FAR}, false) AS curve FROM scored),
     flagged AS MATERIALIZED (SELECT id FROM causes WHERE far OR curve)"""
 P3_FOUND = f"{_SPAM} SELECT id FROM flagged"
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in (*_FIGURES, *(f"z_{c}" for c in _FIGURES)))
 P3_SCORES = f"{_SPAM} SELECT id, CAST(words AS BIGINT) AS words, {_ROUNDED}, CASE WHEN far AND curve THEN 'both' WHEN far THEN 'divergence' WHEN curve THEN 'curve' END AS cause, far OR curve AS flagged FROM causes"
-P6_FOUND = f"""{_SPAM}, texts AS (SELECT id, list_filter(string_split_regex(regexp_replace(lower(body), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+', '', 'g'), '[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}]+'), lambda w: w <> '') AS ws FROM bodies WHERE id NOT IN (SELECT id FROM flagged)),
+_PAIRS_OF_PAGES = f"""{_SPAM}, texts AS (SELECT id, list_filter(string_split_regex(regexp_replace(lower(body), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]+', '', 'g'), '[\\s\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}]+'), lambda w: w <> '') AS ws FROM bodies WHERE id NOT IN (SELECT id FROM flagged)),
     runs AS MATERIALIZED (SELECT DISTINCT id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS run FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM texts)),
-    own AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
-    met AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
-    SELECT id_a, id_b FROM met JOIN own a ON a.id = id_a JOIN own b ON b.id = id_b WHERE shared >= 0.4 * (a.n + b.n - shared)"""
+    measured AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+    met AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS shared FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2),
+    alike AS MATERIALIZED (SELECT id_a, id_b FROM met JOIN measured a ON a.id = id_a JOIN measured b ON b.id = id_b WHERE shared >= 0.4 * (a.n + b.n - shared))"""
+P6_FOUND = f"{_PAIRS_OF_PAGES} SELECT id_a, id_b FROM alike"
+#: Groups by a recursive walk over the pairs.
+P6_CLASSES = f"""{_PAIRS_OF_PAGES.replace('WITH ', 'WITH RECURSIVE ', 1)}, both_ways AS MATERIALIZED (SELECT id_a AS x, id_b AS y FROM alike UNION ALL SELECT id_b, id_a FROM alike),
+    walk AS (SELECT x, y FROM both_ways UNION SELECT w.x, b.y FROM walk w JOIN both_ways b ON b.x = w.y)
+    SELECT o.id, least(o.id, coalesce(min(w.y), o.id)) AS class, coalesce(any_value(k), 0) AS links FROM measured o LEFT JOIN walk w ON w.x = o.id LEFT JOIN (SELECT x, count(*) AS k FROM both_ways GROUP BY x) l ON l.x = o.id GROUP BY o.id"""
