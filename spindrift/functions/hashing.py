@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _pair(byte: int) -> str:
+    """The two letters of a byte (fixed value, by its rule)."""
+    at = 255 if byte == 0 else byte if byte < 128 else byte - 1
+    return chr(97 + at % 26) + "acegikmoqs"[at // 26]
+
+
 def letter_hash(text: Column | str) -> Column:
     """40 lower-case letters: each byte of the SHA-1 of the UTF-8 text as two letters.
 
@@ -14,10 +20,7 @@ def letter_hash(text: Column | str) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     digest = F.sha1(text.cast("binary"))
-
-    def letters(i: Column) -> Column:
-        b = F.conv(F.substr(digest, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-        at = F.when(b == 0, 255).when(b < 128, b).otherwise(b - 1)
-        return F.concat(F.char(97 + at % 26), F.substr(F.lit("acegikmoqs"), F.floor(at / 26).cast("int") + 1, F.lit(1)))
-
-    return F.when(text.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), letters), ""))
+    pairs = F.array(*[F.lit(_pair(b)) for b in range(256)])
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
+    # Twenty plain expressions, so that all of it is compiled; the digest is computed once.
+    return F.when(text.isNotNull(), F.concat(*[F.element_at(pairs, 16 * digit(2 * i + 1) + digit(2 * i + 2) + 1) for i in range(20)]))

@@ -84,17 +84,19 @@ def normalize(link: Column | str, base: Column | str) -> Column:
     )
 
 
-def robots_rules(robots: Column | str, agent: str = "*") -> Column:
+def robots_rules(robots: Column | str, agent: Column | str = "*") -> Column:
     """The rule lines that hold for ``agent``: those of its own block, else those of all blocks for ``*``, in order.
 
-    Blocks are apart by an empty line; an own block ends the search. Null and empty texts have no rules.
+    ``agent`` is a name or a column of names. Blocks are apart by an empty line; an own block ends the search. Null and
+    empty texts have no rules; a null or empty name is anyone's.
     """
     found = F.split(_c(robots), "\n\n", -1)
     lines = lambda x: F.slice(F.split(x, "\n", -1), 2, 1_000_000)
-    own = F.filter(found, lambda x: x.startswith(f"User-agent: {agent}\n"))
+    name = F.coalesce(F.nullif(F.lit(agent) if isinstance(agent, str) else agent, F.lit("")), F.lit("*"))
+    own = F.filter(found, lambda x: x.startswith(F.concat(F.lit("User-agent: "), name, F.lit("\n"))))
     anyone = F.flatten(F.transform(F.filter(found, lambda x: x.startswith("User-agent: *\n")), lines))
     first = F.transform(F.slice(own, 1, 1), lines)
-    return F.coalesce(F.when((F.size(own) > 0) & F.lit(agent != "*"), F.get(first, F.lit(0))).otherwise(anyone), F.array().cast("array<string>"))
+    return F.coalesce(F.when((F.size(own) > 0) & (name != "*"), F.get(first, F.lit(0))).otherwise(anyone), F.array().cast("array<string>"))
 
 
 def robots_allow(path: Column | str, rules: Column | str) -> Column:
@@ -112,6 +114,14 @@ def wildcard_regex(pattern: str) -> str:
     return "^(?:" + pattern.replace("*", r"\S*") + ")$"
 
 
+def blocked_patterns(table: DataFrame, column: str = "pattern", most: int = 10_000) -> tuple[str, ...]:
+    """The distinct patterns of a blacklist table, which must hold at most ``most``: they become one expression."""
+    rows = table.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns")
+    return tuple(r[0] for r in rows)
+
+
 def not_blocked(df: DataFrame, url: str, patterns: tuple[str, ...] = BLOCKED) -> DataFrame:
     """Rows whose url fits none of the patterns; a null url fits none."""
     if not patterns:

@@ -43,8 +43,9 @@ def within_quota(pages: DataFrame, domain: str, order: list[Column], cap: int |
 
 
 def redirects(fetched: DataFrame) -> DataFrame:
-    """Rows that point elsewhere, with a target."""
-    return fetched.where(F.col("responsecode").isin(*REDIRECTS) & F.col("redirecturl").isNotNull())
+    """Rows that point elsewhere, with a target, whose percent escapes are decoded; a target that can't be decoded stays."""
+    moved = fetched.where(F.col("responsecode").isin(*REDIRECTS) & F.col("redirecturl").isNotNull())
+    return moved.withColumn("redirecturl", F.coalesce(F.try_url_decode("redirecturl"), F.col("redirecturl")))
 
 
 def too_soon(fetched: DataFrame, host: str, at: str, order: list[Column], gap_ms: int = 1000) -> DataFrame:
@@ -77,21 +78,25 @@ def parse_seed(args: list[str]) -> tuple[str, str]:
     return "url", f"{scheme}://{authority}/{path if slash else ''}"
 
 
-def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataFrame, blocked: tuple[str, ...] = web.BLOCKED, suffixes: tuple[str, ...] = web.FOLLOWED, quota: int = 200, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataFrame, blocked: tuple[str, ...] | DataFrame = web.BLOCKED, suffixes: tuple[str, ...] = web.FOLLOWED, quota: int = 200, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Crawl in rounds: fetch the queue, take links and redirect targets, keep what may be fetched, until none is left.
 
     ``seeds`` is ``url``; ``fetch`` gives ``url, responsecode, html, redirecturl`` for a frame of ``url`` and is the only
-    part that may meet the outside; ``robots`` is ``host, robots``. A new url must follow its host's rules, match no
+    part that may meet the outside; ``robots`` is ``host, robots``; ``blocked`` holds patterns or is a table of them
+    (``pattern``). A new url must follow its host's rules, match no
     blocked pattern, have an allowed suffix, be new, and fit the domain's quota of pages over the whole crawl (``quota``,
     more for authorities and hosts without a dot: :func:`web.page_cap`); within a round the first by url stay. Returns the fetched pages (``url, responsecode, html, redirecturl, round``) and the
     links (``url, link``) that were allowed.
     """
     rules = cut(robots.where("robots IS NOT NULL").groupBy("host").agg(F.max("robots").alias("robots")).select("host", web.robots_rules("robots").alias("rules")))
+    blocked = web.blocked_patterns(blocked) if isinstance(blocked, DataFrame) else blocked
     queue = cut(seeds.select(web.normalize("url", F.lit("http://x/")).alias("url")).where("url IS NOT NULL").distinct())
-    fetched = links = None
+    fetched = links = seen = None
     for number in islice(count(), rounds):
         got = cut(fetch(queue).select("url", "responsecode", "html", "redirecturl").withColumn("round", F.lit(number)))
-        fetched = got if fetched is None else cut(fetched.unionByName(got))
+        fetched = got if fetched is None else fetched.unionByName(got)  # each round is written once
+        seen = got.select("url") if seen is None else seen.unionByName(got.select("url"))
+        seen = cut(seen) if number % 8 == 7 else seen
         found = text.anchors(got.where(F.col("responsecode") == 200), "html", "url").select("url", once(web.normalize("href", "url")).alias("link"))
         moved = redirects(got).select("url", once(web.normalize("redirecturl", "url")).alias("link"))
         parts = web.url_parts("link")
@@ -99,8 +104,8 @@ def run(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], robots: DataF
         new = web.not_blocked(new.where(web.followed("link", suffixes)), "link", blocked)
         ruled = new.join(rules, new["__host"] == rules["host"], "left").where(F.col("rules").isNull() | web.robots_allow("__path", "rules"))
         allowed = cut(ruled.select("url", "link"))
-        links = allowed if links is None else cut(links.unionByName(allowed))
-        known = fetched.select("url")
+        links = allowed if links is None else links.unionByName(allowed)
+        known = seen
         fresh = allowed.select(F.col("link").alias("url")).distinct().join(known, "url", "left_anti")
         # Pages fetched before take their domain's first places, so that the quota holds over the whole crawl.
         placed = known.distinct().withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))

@@ -117,8 +117,15 @@ class Dataset:
         return Dataset(self.df.where(predicate(F.col("value"))))
 
     def sample(self, fraction: float, seed: int | None = None) -> Dataset:
-        """Each element, repeated ones too, stays with probability ``fraction``."""
-        return Dataset(self.df.sample(False, fraction, seed))
+        """Each element stays with probability ``fraction``.
+
+        With a seed the choice follows from the seed, the key and the value alone, however the rows are laid out; elements
+        of equal key and value then stay or go together. Without one every row is drawn on its own.
+        """
+        if seed is None:
+            return Dataset(self.df.sample(False, fraction))
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("value", F.lit(""))).cast("binary"))
+        return Dataset(self.df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(fraction * 2**32)))
 
     def distinct(self) -> Dataset:
         return Dataset(self.df.select(F.col("value").alias("key"), "value").distinct())

@@ -18,20 +18,22 @@ URL_START = r"(?i:https?://)"
 _QUOTE, _CUT = "﷐", "﷑"
 
 
-def packed_values(text: Column | str, start: str = URL_START, separators: str = r"\s,;|", wrappers: str = r"\[\]") -> Column:
+def packed_values(text: Column | str, start: str | None = None, separators: str = r"\s,;|", wrappers: str = r"\[\]") -> Column:
     """The values of a packed text as an array, in order, without what only quotes, wraps or separates.
 
-    A quote mark (single or double) quotes only where it opens before ``start`` at the beginning of a value and closes
-    before a separator, a wrapper, a colon or the end; any other is ordinary text, as is a mark of the other kind
-    inside. A doubled mark inside a quoted value is one mark. Separators inside quotes are text, as are separators that
-    no value follows (``?q=a,b``). Empty values have no place. Null gives null, an empty or blank text an empty array.
+    With ``start``, a pattern that each value begins with (:data:`URL_START` for addresses), separators that no value
+    follows are text (``?q=a,b``); without it every run of separators separates. A quote mark (single or double) quotes
+    only where it opens (before ``start``) at the beginning of a value and closes before a separator, a wrapper, a colon
+    or the end; any other is ordinary text, as is a mark of the other kind inside. A doubled mark inside a quoted value
+    is one mark. Separators inside quotes are text. Empty values have no place. Null gives null, an empty or blank text
+    an empty array.
     """
     text = F.col(text) if isinstance(text, str) else text
-    edge = rf"{separators}{wrappers}"
+    edge, start = rf"{separators}{wrappers}", start or ""
     for mark in ('"', "'"):
         literal = rf"(^|[{edge}]){mark}(?={start})((?:[^{mark}]++|{mark}{mark})*+){mark}(?=[{edge}:]|$)"
         text = F.regexp_replace(text, F.lit(literal), F.lit(f"$1{_QUOTE}{mark}$2{_QUOTE}"))
-    boundary = rf"[{edge}]+(?={start}|\z)|^[{edge}]+"
+    boundary = rf"[{edge}]+(?={start}|\z)|^[{edge}]+" if start else rf"[{edge}]+"
 
     def piece(p: Column, i: Column) -> Column:
         body, kind = p.substr(F.lit(2), F.length(p)), p.substr(1, 1)
@@ -51,6 +53,11 @@ def unpack(df: DataFrame, column: str, value: str = "item", ordinal: str = "pos"
     return df.select(*kept, F.posexplode(once(packed_values(F.col(f"`{column}`"), **how))).alias(ordinal, value))
 
 
+def unpack_urls(df: DataFrame, column: str, value: str = "item", ordinal: str = "pos") -> DataFrame:
+    """:func:`unpack` for values that begin with an address, such as links and postings."""
+    return unpack(df, column, value, ordinal, start=URL_START)
+
+
 def split_posting(item: Column | str) -> Column:
     """``url:pos pos …`` as ``struct<url, positions>``; cut at the last colon, positions that are no numbers left out."""
     item = F.col(item) if isinstance(item, str) else item

@@ -54,7 +54,8 @@ def converged(state: DataFrame, threshold: float, percent: float | None = None)
 def page_rank(nodes: DataFrame, edges: DataFrame, threshold: float | None = 0.01, percent: float | None = None, rounds: int = 100) -> DataFrame:
     """``id, curr, prev`` after convergence, or after exactly ``rounds`` if ``threshold`` is None.
 
-    Lineage is cut each round; only the verdict of the test reaches the driver. An empty graph is done at once.
+    Lineage is cut each round; only the verdict of the test reaches the driver. An empty graph is done at once; ranks that
+    still move after ``rounds`` are an error.
     """
     links = cut(weighted(edges))
     state = cut(initial(nodes))
@@ -62,4 +63,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, threshold: float | None = 0.01
         state = cut(step(state, links))
         if threshold is not None and converged(state, threshold, percent):
             break
+    else:
+        if threshold is not None:
+            raise RuntimeError("ranks still move")
     return state

@@ -7,21 +7,27 @@ authority in its url, plus 1000 for the exact phrase or 600 if one term is missi
 
 from __future__ import annotations
 
+from urllib.parse import unquote_plus
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import PUNCTUATION
 from spindrift.functions.web import HUBS
+from spindrift.operators.packed import split_posting, unpack_urls
+from spindrift.runtime import cut
 
 #: Pages kept per term and shown, and what a page without a word count, the phrase and the near phrase are worth.
 CANDIDATES, SHOWN, UNKNOWN_WORDS, EXACT, NEAR = 500, 100, 1000, 1000, 600
 #: Words before and after the first hit in a preview.
 BEFORE, AFTER = 10, 90
+#: What a result without text shows (fixed value).
+NO_PREVIEW = "No preview content available"
 
 
 def parse_query(text: str) -> list[str]:
-    """Terms in lower case, cut at white space; repeated terms stay."""
-    return text.lower().split()
+    """Terms of a query as it stands in an address: escapes decoded, lower case, cut at white space; repeated terms stay."""
+    return unquote_plus(text).lower().split()
 
 
 def slots(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -29,6 +35,16 @@ def slots(spark: SparkSession, terms: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(terms)), "i int, word string")
 
 
+def stored(index: DataFrame, terms: list[str], word: str = "word", value: str = "value") -> DataFrame:
+    """``word, url, positions`` of the terms in a stored index of packed postings; the terms are a filter of its scan.
+
+    A word may have many rows; repeated rows and postings count once.
+    """
+    rows = index.where(F.col(word).isin(*terms)).select(F.col(word).alias("word"), F.col(value).alias("value"))
+    each = unpack_urls(rows, "value").select("word", split_posting("item").alias("p")).where("p.url <> ''").select("word", "p.url", "p.positions")
+    return each.groupBy("word", "url").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("positions")))).alias("positions"))
+
+
 def candidates(found: DataFrame, spark: SparkSession, terms: list[str], most: int | None = CANDIDATES, key: str = "url") -> DataFrame:
     """``i, url, positions, freq``: per slot the first ``most`` pages by url."""
     hits = found.join(F.broadcast(slots(spark, terms)), "word").select("i", F.col(key).alias("url"), "positions", F.size("positions").alias("freq"))
@@ -82,10 +98,15 @@ def best(scored: DataFrame, most: int = SHOWN) -> DataFrame:
 def search(found: DataFrame, words: DataFrame, query: str, ranks: DataFrame | None = None, strict: bool = True, most: int | None = CANDIDATES) -> DataFrame:
     """The best results of a query over ``found`` (``url, word, positions``); an empty query or no hit gives none."""
     terms = parse_query(query)
-    hits = candidates(found, found.sparkSession, terms, most)
+    hits = cut(candidates(found, found.sparkSession, terms, most))  # counted, weighed and scored
     return best(score(hits, len(terms), words, ranks, strict))
 
 
+def with_fallback(content: Column) -> Column:
+    """A preview, or what stands in for one that isn't there."""
+    return F.coalesce(F.nullif(content, F.lit("")), F.lit(NO_PREVIEW))
+
+
 def preview(page: Column, first: Column) -> Column:
     """Words around the first hit (a position from 1), punctuation dropped, case kept."""
     words = F.split(F.regexp_replace(F.regexp_replace(page, PUNCTUATION, " "), r"\s+$", ""), r"\s+", -1)

@@ -128,7 +128,10 @@ def union_values(spark, base):
 
 
 def subtract_values(spark, base):
-    return _users(spark, base, "purchase").subtract(_users(spark, base, "signup")).distinct().df.select("value")
+    """Parts that were never returned in large lots."""
+    parts = Dataset(table(spark, base, "part").select(F.col("p_partkey").alias("key"), F.col("p_partkey").cast("string").alias("value")))
+    returned = table(spark, base, "lineitem", "l_partkey", "l_returnflag", "l_quantity").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49))
+    return parts.subtract(Dataset(returned.select(F.col("l_partkey").alias("key"), F.col("l_partkey").cast("string").alias("value")))).distinct().df.select("value")
 
 
 def intersection_users(spark, base):
@@ -175,7 +178,9 @@ def exists_semi(spark, base):
 
 
 def not_exists_anti(spark, base):
-    return store.exists(*_customers_and_orders(spark, base), "k", there=False)
+    """Customers without an urgent order that is pending."""
+    urgent = table(spark, base, "orders").where("o_orderstatus = 'P' AND o_orderpriority LIKE '1-%'").select(F.col("o_custkey").alias("k"))
+    return store.exists(_customers_and_orders(spark, base)[0], urgent, "k", there=False)
 
 
 def lookup_default(spark, base):
@@ -230,7 +235,8 @@ SQL = {
     "filter_pred": "SELECT l_orderkey || '-' || l_linenumber AS key, l_quantity AS value FROM lineitem WHERE l_quantity >= 45",
     "distinct_values": "SELECT DISTINCT event_type AS key, event_type AS value FROM events WHERE event_type IS NOT NULL",
     "union_values": f"{_USERS.format('purchase')} UNION ALL {_USERS.format('signup')}",
-    "subtract_values": f"{_USERS.format('purchase')} EXCEPT {_USERS.format('signup')}",
+    "subtract_values": "SELECT CAST(p_partkey AS VARCHAR) AS value FROM part EXCEPT SELECT CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49",
+    "sample_fraction": f"SELECT key, value FROM (SELECT event_id AS key, event_type AS value FROM events) WHERE CAST('0x' || substr(md5('7|' || key || '|' || value), 1, 8) AS BIGINT) < {int(0.1 * 2**32)}",
     "intersection_users": f"{_USERS.format('purchase')} INTERSECT {_USERS.format('signup')}",
     "group_by_list": "SELECT n_name[1] AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1",
     "group_by_pairs": "SELECT right(s_name, 1) AS key, s_name AS value FROM supplier",
@@ -242,7 +248,7 @@ SQL = {
         FULL JOIN (SELECT s_nationkey AS k, string_agg(s_name, ',' ORDER BY s_name) AS v FROM supplier GROUP BY 1) s ON c.k = s.k""",
     "pair_rows": """SELECT CAST(n_regionkey AS VARCHAR) AS key, '{' || string_agg('"' || n_nationkey || '":"' || n_name || '"', ',' ORDER BY CAST(n_nationkey AS VARCHAR)) || '}' AS cells FROM nation GROUP BY 1""",
     "exists_semi": "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "not_exists_anti": "SELECT c_custkey AS k, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "not_exists_anti": "SELECT c_custkey AS k, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority LIKE '1-%')",
     "lookup_default": f"SELECT p.id, coalesce(r.rank, -1.0) AS rank FROM {SQL_PAGES} p LEFT JOIN (SELECT id, max(rank) AS rank FROM pageranks GROUP BY id) r USING (id)",
     "merge_by_key_words": "SELECT word, string_agg(value, ',' ORDER BY value) AS value FROM index_final WHERE word IN (SELECT regexp_extract(url, '/([a-z]+)$', 1) FROM content) AND value IS NOT NULL GROUP BY word",
     "consolidate_words": "SELECT word, coalesce(string_agg(value, ',' ORDER BY value), '') AS value FROM index_final WHERE word IS NOT NULL GROUP BY word",

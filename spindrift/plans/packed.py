@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators.packed import unpack
+from spindrift.operators.packed import unpack_urls
 from spindrift.sources.tables import table
 
 
 def unpacked(spark: SparkSession, base: str, name: str, column: str) -> DataFrame:
     """``src, seq, pos, item`` for each value of ``column``; a delivery repeated under one ``seq`` counts once."""
     log = table(spark, base, name, "seq", column).dropDuplicates()
-    return unpack(log, column).select(F.lit(name).alias("src"), "seq", "pos", "item")
+    return unpack_urls(log, column).select(F.lit(name).alias("src"), "seq", "pos", "item")
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.urls import page_key
+from spindrift.functions.web import HUBS
 from spindrift.operators import index, rank
 from spindrift.operators import search as s
-from spindrift.operators.packed import unpack
+from spindrift.operators.packed import unpack_urls
 from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_key, sql_tokens
+from spindrift.plans.web import SQL as WEB_SQL
+from spindrift.plans.web import image_table
+from spindrift.runtime import cut
 from spindrift.sources.tables import current, pages, table
 
 
@@ -49,7 +53,7 @@ def index_text(spark, base):
 
 def _graph(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     rows = current(table(spark, base, "outdegrees", "id", "url", "links", "seq")).select(page_key("url").alias("id"), "links").where("id IS NOT NULL")
-    return rows.select("id"), unpack(rows, "links").select(F.col("id").alias("src"), page_key("item").alias("dst"))
+    return rows.select("id"), unpack_urls(rows, "links").select(F.col("id").alias("src"), page_key("item").alias("dst"))
 
 
 def pagerank_init(spark, base):
@@ -93,35 +97,66 @@ def _ranks(spark: SparkSession, base: str) -> DataFrame:
 #: Queries and what they are about: one term, two neighbours, a phrase, a phrase with a term that no page has, a repeated
 #: term, terms that rarely meet.
 _TERMS = {
-    "search_single": "crawler", "search_two_terms": "the crawler", "search_phrase": "of the page", "search_near": "the list nosuchword",
-    "search_repeated": "the the the", "search_sparse": "careful readers garden", "search_unknown": "nosuchword",
+    "search_single": "crawler", "search_two_terms": "page+list", "search_phrase": "season picture list", "search_near": "page season nosuchword",
+    "search_repeated": "page page page", "search_sparse": "account cat buckle", "search_unknown": "nosuchword",
 }
+_RANKED, _LOOSE = "Garden market%20letter", "list page season list"
+
+
+def _versions(spark: SparkSession, base: str, urls: DataFrame, *columns: str) -> DataFrame:
+    """``id, url`` and ``columns`` of the pages that now have one of ``urls``.
+
+    ``urls`` are those of a query's hits, at most 500 for each term, so they and their ids are broadcast to the scans and
+    nothing else of the log moves.
+    """
+    log = table(spark, base, "content", "id", "seq", "url", *columns)
+    ids = log.join(F.broadcast(urls), "url", "left_semi").select("id").distinct()
+    rows = log.join(F.broadcast(ids), "id", "left_semi")
+    return current(rows).drop("seq").join(F.broadcast(urls), "url", "left_semi")
+
+
+def _answer(spark: SparkSession, base: str, query: str, ranked: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The hits of a query in the stored index, and its best results."""
+    terms = s.parse_query(query)
+    hits = cut(s.candidates(s.stored(table(spark, base, "index_final", "word", "value"), terms), spark, terms))
+    urls = hits.select("url").distinct()
+    own = _versions(spark, base, urls, "wordcount")
+    ranks = None
+    if ranked:
+        own = cut(own)
+        ranks = table(spark, base, "pageranks", "id", "rank").join(F.broadcast(own.select("id", "url")), "id").groupBy("url").agg(F.max("rank").alias("rank"))
+    return hits, s.best(s.score(hits, len(terms), own.select("url", F.col("wordcount").alias("n")), ranks, strict))
 
 
 def _search(terms: str):
     def query(spark: SparkSession, base: str) -> DataFrame:
-        return s.search(_found(spark, base), index.word_counts(_pages(spark, base)), terms)
+        return _answer(spark, base, terms)[1]
 
     return query
 
 
 def search_ranked(spark, base):
     """The whole: ranks of pages, phrase boosts, first 100."""
-    return s.search(_found(spark, base), index.word_counts(_pages(spark, base)), "careful readers collect", _ranks(spark, base))
+    return _answer(spark, base, _RANKED, ranked=True)[1]
 
 
 def search_loose(spark, base):
     """As :func:`search_ranked`, with the phrase test that looks at neighbouring terms pair by pair."""
-    return s.search(_found(spark, base), index.word_counts(_pages(spark, base)), "of the page of", _ranks(spark, base), strict=False)
+    return _answer(spark, base, _LOOSE, ranked=True, strict=False)[1]
+
+
+def search_built(spark, base):
+    """Over an index built from the pages themselves, all words of them."""
+    return s.search(_found(spark, base), index.word_counts(_pages(spark, base)), "careful readers collect", _ranks(spark, base))
 
 
 def _previews(spark: SparkSession, base: str) -> DataFrame:
-    terms = s.parse_query("careful readers collect")
-    found = _found(spark, base)
-    top = s.best(s.score(s.candidates(found, spark, terms), len(terms), index.word_counts(_pages(spark, base)), _ranks(spark, base)), 20)
-    first = found.join(F.broadcast(s.slots(spark, terms)), "word").groupBy("url").agg(F.min(F.struct("i", F.get("positions", F.lit(0)).alias("p"))).alias("f"))
-    shown = top.join(first, "url").join(_pages(spark, base), "url")
-    return shown.select("url", "matched", "score", s.preview(F.col("page"), F.col("f.p")).alias("content"))
+    hits, top = _answer(spark, base, _RANKED, ranked=True)
+    top = cut(top)
+    first = hits.groupBy("url").agg(F.min(F.struct("i", F.get("positions", F.lit(0)).alias("p"))).alias("f"))
+    text = _versions(spark, base, top.select("url"), "page").select("url", "page")
+    shown = top.join(first, "url").join(text, "url", "left")
+    return shown.select("url", "matched", "score", s.with_fallback(s.preview(F.col("page"), F.col("f.p"))).alias("content"))
 
 
 def search_preview(spark, base):
@@ -134,15 +169,14 @@ def search_json(spark, base):
 
 
 def image_search(spark, base):
-    """Over a small index of its own: the tables hold no images."""
-    rows = [("cat", "http://a.test/1.jpg", [1, 4, 9]), ("cat", "http://a.test/2.png", [2]), ("cat", "http://a.test/3.gif", [1, 2]), ("cat", "ftp://a.test/4.jpg", [1]), ("dog", "http://a.test/5.jpg", [1]), ("cat", "http://a.test/6.jpeg", [7])]
-    images = spark.createDataFrame([("http://a.test/1.jpg", "a cat"), ("http://a.test/5.jpg", "a dog")], "url string, alt string")
-    return s.image_search(spark.createDataFrame(rows, "word string, url string, positions array<int>"), images, "Cat nap")
+    """Images of the pages' markup, indexed by the words of their alternative texts."""
+    images = cut(image_table(spark, base))  # indexed, then named
+    return s.image_search(index.positions(images, page="alt"), images, "View nap")
 
 
 QUERIES = {f.__name__: f for f in (word_count, positions_top50, postings, inverted_index, index_text, pagerank_init, pagerank_round1, pagerank_k, pagerank_diff, pagerank_converged, pagerank_pct)}
 QUERIES |= {name: _search(terms) for name, terms in _TERMS.items()}
-QUERIES |= {f.__name__: f for f in (search_ranked, search_loose, search_preview, search_json, image_search)}
+QUERIES |= {f.__name__: f for f in (search_ranked, search_loose, search_built, search_preview, search_json, image_search)}
 
 _TEXT = f"(SELECT id AS url, page FROM {SQL_PAGES} WHERE page IS NOT NULL)"
 _COUNT = f"(SELECT url, CAST(len({sql_tokens('page')}) AS INTEGER) AS n FROM {_TEXT})"
@@ -167,6 +201,10 @@ def _sql_until(n: int, test: str, places: int) -> str:
     return _sql_rounds(n) + tried + f", p AS MATERIALIZED (SELECT {pick} AS n) " + " UNION ALL ".join(f"SELECT id, round(curr, {places}) AS curr FROM r{i} WHERE (SELECT n FROM p) = {i}" for i in range(1, n + 1))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _sql_chain(slots: list[int], strict: bool) -> str:
     """Whether the positions ``p{i}`` of the slots follow one another."""
     if len(slots) == 1:
@@ -179,7 +217,15 @@ def _sql_chain(slots: list[int], strict: bool) -> str:
     return " AND ".join(f"list_has_any(list_transform(p{a}, lambda x: x + 1), p{b})" for a, b in zip(slots, slots[1:], strict=False))
 
 
-def _sql_search(terms: str, ranked: bool, strict: bool = True, shown: int = 100) -> str:
+_STORED = rf"""(SELECT word, url, list_sort(list_distinct(list(place))) AS positions FROM (
+    SELECT word, regexp_extract(item, '^(.*):[^:]*$', 1, 's') AS url, unnest(list_transform(regexp_extract_all(regexp_extract(item, ':([0-9\s]*)$', 1), '[0-9]+'), lambda x: CAST(x AS INTEGER))) AS place
+    FROM ({sql_values("index_final", "value", "word")}) WHERE word IS NOT NULL) WHERE url <> '' GROUP BY word, url)"""
+_STORED_COUNT = f"(SELECT url, wordcount AS n FROM {SQL_PAGES})"
+_STORED_RANK = f"(SELECT p.url, max(rank) AS rank FROM pageranks JOIN {SQL_PAGES} p USING (id) GROUP BY p.url)"
+_BUILT_RANK = "(SELECT id AS url, max(rank) AS rank FROM pageranks GROUP BY id)"
+
+
+def _sql_search(terms: str, ranked: bool, strict: bool = True, built: bool = False) -> str:
     words = s.parse_query(terms)
     n = range(len(words))
     hits = ", ".join(f"h{i} AS MATERIALIZED (SELECT url, positions AS p{i}, CAST(len(positions) AS DOUBLE) AS f{i} FROM pos WHERE word = '{words[i]}' ORDER BY url LIMIT {s.CANDIDATES})" for i in n)
@@ -191,17 +237,18 @@ def _sql_search(terms: str, ranked: bool, strict: bool = True, shown: int = 100)
     if len(words) > 1:
         near = "coalesce(CASE " + " ".join(f"WHEN matched = {len(words) - 1} AND p{j} IS NULL THEN {_sql_chain([i for i in n if i != j], strict)}" for j in n) + " END, false)"
     joins = " ".join(f"LEFT JOIN h{i} USING (url)" for i in n)
-    score = f"round(1000 * ({tfidf}) / coalesce(nullif(wc.n, 0), {s.UNKNOWN_WORDS}) + coalesce({'r.rank' if ranked else 'NULL'}, 0) + CASE WHEN exact THEN {s.EXACT} WHEN near THEN {s.NEAR} ELSE 0 END, 6)"
-    rank_join = "LEFT JOIN (SELECT id AS url, max(rank) AS rank FROM pageranks GROUP BY id) r USING (url)" if ranked else ""
-    return f"""WITH pos AS MATERIALIZED (SELECT * FROM {_POS} WHERE word IN ({", ".join(f"'{w}'" for w in words)})), {hits}, every AS MATERIALIZED ({everyone}),
+    hubs = " + ".join(f"contains(url, {_quoted(h)})::INT" for h in HUBS)
+    score = f"round(1000 * ({tfidf}) / coalesce(nullif(wc.n, 0), {s.UNKNOWN_WORDS}) + coalesce({'r.rank' if ranked else 'NULL'}, {hubs}) + CASE WHEN exact THEN {s.EXACT} WHEN near THEN {s.NEAR} ELSE 0 END, 6)"
+    rank_join = f"LEFT JOIN {_BUILT_RANK if built else _STORED_RANK} r USING (url)" if ranked else ""
+    return f"""WITH pos AS MATERIALIZED (SELECT * FROM {_POS if built else _STORED} WHERE word IN ({", ".join(f"'{w}'" for w in words)})), {hits}, every AS MATERIALIZED ({everyone}),
         m AS (SELECT *, {matched} AS matched FROM every {joins}), x AS (SELECT *, {exact} AS exact, {near} AS near FROM m)
-        SELECT url, CAST(matched AS INTEGER) AS matched, exact, near, {score} AS score FROM x LEFT JOIN {_COUNT} wc USING (url) {rank_join} ORDER BY matched DESC, score DESC, url LIMIT {shown}"""
+        SELECT url, CAST(matched AS INTEGER) AS matched, exact, near, {score} AS score FROM x LEFT JOIN {_COUNT if built else _STORED_COUNT} wc USING (url) {rank_join} ORDER BY matched DESC, score DESC, url LIMIT {s.SHOWN}"""
 
 
 _SHOWN_WORDS = r"""string_split_regex(regexp_replace(regexp_replace(page, '[.,:;!?''"()-]', ' ', 'g'), '\s+$', ''), '\s+')"""
-_FIRST = f"(SELECT url, arg_min(positions[1], i) AS f FROM {_POS} JOIN (VALUES (0, 'careful'), (1, 'readers'), (2, 'collect')) t(i, word) USING (word) GROUP BY url)"
-_PREVIEWS = f"""(SELECT url, matched, score, array_to_string({_SHOWN_WORDS}[greatest(f - {s.BEFORE}, 0) + 1 : f + {s.AFTER}], ' ') AS content
-    FROM ({_sql_search("careful readers collect", True, shown=20)}) JOIN {_FIRST} USING (url) JOIN {_TEXT} USING (url))"""
+_FIRST = f"(SELECT url, arg_min(positions[1], i) AS f FROM {_STORED} JOIN (VALUES {', '.join(f'({i}, {_quoted(w)})' for i, w in enumerate(s.parse_query(_RANKED)))}) t(i, word) USING (word) GROUP BY url)"
+_PREVIEWS = f"""(SELECT url, matched, score, coalesce(nullif(array_to_string({_SHOWN_WORDS}[greatest(f - {s.BEFORE}, 0) + 1 : f + {s.AFTER}], ' '), ''), {_quoted(s.NO_PREVIEW)}) AS content
+    FROM ({_sql_search(_RANKED, True)}) JOIN {_FIRST} USING (url) LEFT JOIN (SELECT url, page FROM {SQL_PAGES}) USING (url))"""
 SQL = {
     "word_count": f"SELECT * FROM {_COUNT}",
     "positions_top50": f"SELECT url, word, CAST(len(positions) AS INTEGER) AS n, positions[1] AS first, list_max(positions) AS last FROM {_POS}",
@@ -215,9 +262,11 @@ SQL = {
     "pagerank_converged": _sql_until(40, "max(abs(curr - prev)) < 0.01", 6),
     "pagerank_pct": _sql_until(12, "count(*) FILTER (abs(curr - prev) <= 0.1) >= floor(count(*) * 0.75 + 0.5)", 6),
     **{name: _sql_search(terms, False) for name, terms in _TERMS.items()},
-    "search_ranked": _sql_search("careful readers collect", True),
-    "search_loose": _sql_search("of the page of", True, strict=False),
+    "search_ranked": _sql_search(_RANKED, True),
+    "search_loose": _sql_search(_LOOSE, True, strict=False),
+    "search_built": _sql_search("careful readers collect", True, built=True),
     "search_preview": f"SELECT url, content FROM {_PREVIEWS}",
     "search_json": f"""SELECT CAST(to_json({{'results': list({{'URL': url, 'content': content}} ORDER BY matched DESC, score DESC, url)}}) AS VARCHAR) AS json FROM {_PREVIEWS}""",
-    "image_search": "SELECT * FROM (VALUES ('http://a.test/1.jpg', 3, 'a cat'), ('http://a.test/2.png', 1, 'No alt text available'), ('http://a.test/6.jpeg', 1, 'No alt text available')) t(url, n, alt)",
+    "image_search": f"""SELECT url, alt, CAST(n AS INTEGER) AS n FROM (SELECT url, alt, least(len(list_filter({sql_tokens('alt')}, lambda w: w = 'view')), {index.POSITIONS}) AS n
+        FROM ({WEB_SQL["image_table"]})) WHERE n > 0 AND starts_with(url, 'http') AND regexp_matches(url, '\\.(?:jpg|jpeg|png)$') ORDER BY n DESC, url LIMIT 10""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import store
 from spindrift.plans.sqltext import SQL_PAGES
-from spindrift.runtime import checkpoint_dir
+from spindrift.runtime import checkpoint_dir, cut
 from spindrift.sources import rowlog
 from spindrift.sources.tables import current, table
 
@@ -41,7 +41,7 @@ def log_raw(spark, base):
 
 
 def log_put(spark, base):
-    new = table(spark, base, "customer").where("c_custkey <= 150").select(F.col("c_custkey").cast("string").alias("key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"))
+    new = table(spark, base, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"))
     return store.current_cells(store.put(_log(spark, base), new))
 
 
@@ -68,7 +68,7 @@ def rename_and_delete(spark, base):
     old, new = _place(spark, "old"), _place(spark, "new")
     table(spark, base, "region").write.parquet(old)
     store.rename(spark, old, new)
-    moved = spark.createDataFrame(spark.read.parquet(new).collect(), "r_regionkey int, r_name string")
+    moved = cut(spark.read.parquet(new))
     store.delete(spark, new)
     return moved
 
@@ -113,7 +113,7 @@ SQL = {
     "log_current_cells": f"SELECT key, col, arg_max(value, seq) AS value FROM {_LOG} GROUP BY key, col",
     "log_current_rows": f"SELECT key, CAST(count(*) AS INTEGER) AS n, max(v) FILTER (col = 'purchase') AS purchase FROM (SELECT key, col, arg_max(value, seq) AS v FROM {_LOG} GROUP BY key, col) GROUP BY key",
     "log_raw": f"SELECT * FROM {_LOG}",
-    "log_put": f"SELECT key, col, arg_max(value, seq) AS value FROM (SELECT * FROM {_LOG} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'click', c_name, 1000000000 + c_custkey FROM customer WHERE c_custkey <= 150) GROUP BY key, col",
+    "log_put": f"SELECT key, col, arg_max(value, seq) AS value FROM (SELECT * FROM {_LOG} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'click', c_name, 1000000000 + c_custkey FROM customer) GROUP BY key, col",
     "log_counts": " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS versions, count(DISTINCT id) AS live FROM {t}" for t in ("content", "crawl", "outdegrees")),
     "current_content": f"SELECT id, url, wordcount, seq, CAST(length(page) AS INTEGER) AS n_chars FROM {SQL_PAGES}",
     "current_crawl": f"SELECT id, url, responsecode, seq {_CURRENT.format('crawl')}",

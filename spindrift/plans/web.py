@@ -9,25 +9,32 @@ from spindrift.functions import text, web
 from spindrift.functions.hashing import letter_hash
 from spindrift.functions.urls import host, page_key
 from spindrift.operators import crawl
-from spindrift.operators.packed import unpack
+from spindrift.operators.packed import unpack_urls
 from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_host, sql_key
 from spindrift.sources.tables import current, pages, table
 
 #: What a page is set in, so that the HTML operators run over whole texts.
 _BEFORE = '<html><head><style type="text/css">p { margin: 0 }</style><script>var a = "<b>";\nvar c = 1;</script></head><body><h1>'
-_AFTER = '</h1><p>Read <a class="x" href="/next/{0}.html#top">the next</a> or <A HREF=\'../up/{0}\'>above</A>, <a href="picture.png">look</a></p><img src="/i/{0}.jpg" alt="view of {0}"><img src=/i/{0}.jpg alt="again"></body></html>'
+#: Markup after the text, one form for each remainder of the id's length and last letter; ``{0}`` is the page's id.
+_AFTERS = (
+    '</h1><p>Read <a class="x" href="/next/{0}.html#top">the next</a> or <A HREF=\'../up/{0}\'>above</A>, <a href="picture.png">look</a></p><img src="/i/{0}.jpg" alt="view of {0}"><img src=/i/{0}.jpg alt="again"></body></html>',
+    "</h1><a href=../../far/{0}?q=1>far away</a> <a href=\"Report.PDF\">report</a><a href=\"#end\">end</a><IMG alt=\"A view\" SRC='http://pictures.test/{0}.png'><img src=\"/icon.gif\"></body></html>",
+    '</h1><a href="//mirror.test/{0}">mirror</a><a title="t" href="next.html" rel="n">  next  </a><a href="/Photo.JpG">photo</a><img src="/i/{0}.jpeg" alt="first view"><img src="/i/{0}.jpeg" alt="second view"></body></html>',
+    '</h1><p>No way on.</p><a name="here">here</a><img alt="nothing"></body></html>',
+)
 
 
 def _html(spark: SparkSession, base: str) -> DataFrame:
     own = pages(spark, base, "url", "page").where("page IS NOT NULL AND url IS NOT NULL")
-    after = F.regexp_replace(F.lit(_AFTER), r"\{0\}", F.col("id"))
+    form = F.ascii(F.substring("id", -1, 1)) % len(_AFTERS)
+    after = F.replace(F.element_at(F.array(*[F.lit(x) for x in _AFTERS]), form + 1), F.lit("{0}"), F.col("id"))
     return own.select("id", "url", F.concat(F.lit(_BEFORE), F.replace("page", F.lit("<"), F.lit(" ")), after).alias("html"))
 
 
 def _links(spark: SparkSession, base: str) -> DataFrame:
     """``id, url, pos, item``: the links of the current rows."""
-    return unpack(current(table(spark, base, "outdegrees", "id", "url", "links", "seq")).drop("seq"), "links")
+    return unpack_urls(current(table(spark, base, "outdegrees", "id", "url", "links", "seq")).drop("seq"), "links")
 
 
 def hash_key(spark, base):
@@ -74,6 +81,13 @@ def extract_images(spark, base):
     return text.alt_texts(text.images(_html(spark, base), "html", "id"), "id", "src")
 
 
+def image_table(spark, base):
+    """Each image under its whole address, with the texts that pages give it."""
+    found = text.images(_html(spark, base), "html", "id", "url").withColumn("src", web.normalize("src", "url")).where("src IS NOT NULL")
+    texts = found.where("alt <> ''").groupBy("src").agg(F.concat_ws(" ", F.array_sort(F.collect_set("alt"))).alias("alt"))  # one image's texts
+    return found.select("src").distinct().join(texts, "src", "left").select(letter_hash("src").alias("id"), F.col("src").alias("url"), F.coalesce("alt", F.lit("")).alias("alt"))
+
+
 def robots_allow(spark, base):
     """Crawled paths that their host's rules allow or forbid."""
     rules = table(spark, base, "hosts", "host", "robots").where("robots IS NOT NULL").distinct().select("host", web.robots_rules("robots").alias("rules"))
@@ -85,8 +99,15 @@ def robots_own_rules(spark, base):
     return table(spark, base, "hosts", "host", "robots").distinct().select("host", F.coalesce("robots", F.lit("")).alias("robots"), F.concat_ws("|", web.robots_rules("robots")).alias("rules"))
 
 
+def robots_agent_rules(spark, base):
+    """The rules that hold for the robot that a host names, or for any where it names none."""
+    named = F.regexp_extract("robots", r"User-agent: ([^*\n]+)\n", 1)
+    return table(spark, base, "hosts", "host", "robots").where("robots IS NOT NULL").distinct().select("host", named.alias("agent"), F.concat_ws("|", web.robots_rules("robots", named)).alias("rules"))
+
+
 def blacklist_filter(spark, base):
-    return web.not_blocked(table(spark, base, "crawl", "url").distinct(), "url")
+    """Crawled urls that no pattern of the blacklist table fits."""
+    return web.not_blocked(table(spark, base, "crawl", "url").distinct(), "url", web.blocked_patterns(blacklist_table(spark, base)))
 
 
 def blacklist_table(spark, base):
@@ -124,7 +145,7 @@ def unseen_links(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     hash_key, parse_url_parts, url_hosts, normalize_links, normalize_relative, strip_html, extract_links, out_links, anchor_text,
-    extract_images, robots_allow, robots_own_rules, blacklist_filter, blacklist_table, allowed_suffix, domain_quota, frontier_bfs,
+    extract_images, robots_allow, robots_own_rules, robots_agent_rules, image_table, blacklist_filter, blacklist_table, allowed_suffix, domain_quota, frontier_bfs,
     host_gap, redirect_targets, unseen_links,
 )}
 
@@ -173,7 +194,7 @@ def _sql_normalize(u: str, b: str) -> str:
 
 
 _LINKS = f"({sql_values('(SELECT * FROM outdegrees WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1)', 'links', 'id, url')})"
-_HTML = f"(SELECT id, url, {_quoted(_BEFORE)} || replace(page, '<', ' ') || replace({_quoted(_AFTER)}, '{{0}}', id) AS html FROM {SQL_PAGES} WHERE page IS NOT NULL AND url IS NOT NULL)"
+_HTML = f"(SELECT id, url, {_quoted(_BEFORE)} || replace(page, '<', ' ') || replace([{', '.join(_quoted(x) for x in _AFTERS)}][1 + ascii(right(id, 1)) % {len(_AFTERS)}], '{{0}}', id) AS html FROM {SQL_PAGES} WHERE page IS NOT NULL AND url IS NOT NULL)"
 _CODE = r"regexp_replace(html, '(?:<style.*?>.*?</style.*?>)|(?:<script.*?>(?s:.)*?</script.*?>)', '', 'g')"
 _A = r"""<[Aa][^>]*[Hh][Rr][Ee][Ff]=["'']?([^\s"''<>]+)["'']?[^>]*>([^<]*)</[Aa]>"""
 _IMG = r"""<[Ii][Mm][Gg][^>]*[Ss][Rr][Cc]=["'']?([^\s"''<>]+)["'']?[^>]*>"""
@@ -181,6 +202,8 @@ _ANCHORS = rf"""(SELECT id, url, pos, regexp_replace(href, '#.*$', '') AS href,
     SELECT id, url, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnest(hrefs) AS href, unnest(texts) AS anchor
     FROM (SELECT id, url, regexp_extract_all({_CODE}, '{_A}', 1) AS hrefs, regexp_extract_all({_CODE}, '{_A}', 2) AS texts FROM {_HTML}))
     WHERE NOT regexp_matches(href, '\.(?:jpg|jpeg|gif|png|txt|pdf)$', 'i'))"""
+_IMAGES = rf"""(SELECT id, url, pos, regexp_replace(regexp_extract(tag, '{_IMG}', 1), '#.*$', '') AS src, regexp_extract(tag, 'alt="([^"]*)"', 1, 'i') AS alt
+    FROM (SELECT id, url, generate_subscripts(tags, 1) AS pos, unnest(tags) AS tag FROM (SELECT id, url, regexp_extract_all({_CODE}, '{_IMG}', 0) AS tags FROM {_HTML})))"""
 _P = _sql_part("url")
 _SEEN = "(SELECT DISTINCT url FROM crawl)"
 _RULES = r"""(SELECT host, robots, flatten(list_transform(list_filter(string_split(coalesce(robots, ''), chr(10) || chr(10)), lambda b: starts_with(b, 'User-agent: *' || chr(10))), lambda b: string_split(b, chr(10))[2:])) AS rules FROM (SELECT DISTINCT host, robots FROM hosts))"""
@@ -197,8 +220,10 @@ SQL = {
     "extract_links": f"SELECT id, pos, {_sql_normalize('href', 'url')} AS link, anchor FROM {_ANCHORS} WHERE href <> ''",
     "out_links": f"SELECT id, string_agg(link, ',' ORDER BY link) AS links FROM (SELECT DISTINCT id, {_sql_normalize('href', 'url')} AS link FROM {_ANCHORS} WHERE href <> '') WHERE link IS NOT NULL GROUP BY id",
     "anchor_text": f"SELECT id, string_agg(anchor, ' ' ORDER BY pos) AS anchor FROM {_ANCHORS} WHERE href <> '' AND anchor <> '' GROUP BY id",
-    "extract_images": rf"""SELECT id, regexp_extract(tag, '{_IMG}', 1) AS src, string_agg(regexp_extract(tag, 'alt="([^"]*)"', 1, 'i'), ',' ORDER BY pos) AS alt
-        FROM (SELECT id, generate_subscripts(tags, 1) AS pos, unnest(tags) AS tag FROM (SELECT id, regexp_extract_all({_CODE}, '{_IMG}', 0) AS tags FROM {_HTML})) GROUP BY 1, 2""",
+    "extract_images": f"SELECT id, src, coalesce(string_agg(nullif(alt, ''), ',' ORDER BY pos), '') AS alt FROM {_IMAGES} WHERE src <> '' GROUP BY 1, 2",
+    "image_table": f"SELECT {_sql_hash('src')} AS id, src AS url, coalesce(array_to_string(list_sort(list_distinct(list(alt) FILTER (alt <> ''))), ' '), '') AS alt FROM (SELECT {_sql_normalize('src', 'url')} AS src, alt FROM {_IMAGES} WHERE src <> '') WHERE src IS NOT NULL GROUP BY src",
+    "robots_agent_rules": rf"""SELECT host, agent, array_to_string(CASE WHEN agent <> '' AND len(own) > 0 THEN string_split(own[1], chr(10))[2:] ELSE rules END, '|') AS rules FROM (
+        SELECT host, rules, regexp_extract(robots, 'User-agent: ([^*\n]+)\n', 1) AS agent, list_filter(string_split(robots, chr(10) || chr(10)), lambda b: starts_with(b, 'User-agent: ' || regexp_extract(robots, 'User-agent: ([^*\n]+)\n', 1) || chr(10))) AS own FROM {_RULES} WHERE robots IS NOT NULL)""",
     "robots_allow": f"SELECT id, path <> '' AND starts_with(coalesce({_FITS}[1], 'Allow'), 'Allow') AS allowed FROM (SELECT DISTINCT id, c.host, {_P['path']} AS path, rules FROM (SELECT DISTINCT id, host, url FROM crawl) c JOIN {_RULES} r ON r.host = c.host WHERE robots IS NOT NULL)",
     "robots_own_rules": f"SELECT host, coalesce(robots, '') AS robots, array_to_string(rules, '|') AS rules FROM {_RULES}",
     "blacklist_filter": f"SELECT url FROM {_SEEN} WHERE NOT regexp_full_match(url, {_quoted('|'.join('(?:' + p.replace('*', chr(92) + 'S*') + ')' for p in web.BLOCKED))})",

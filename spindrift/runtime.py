@@ -34,16 +34,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """Rows dealt over the whole shuffle width, by key or round-robin, before work that is heavy per row."""
-    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
-
-
-def salt(parts: int, *columns: Column | str) -> Column:
-    """A deterministic salt in ``0 .. parts - 1``: equal rows get equal salts, so a retried task repeats itself."""
-    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int")
-
-
 def once(value: Column) -> Column:
     """``value`` behind a barrier: later filters and projections use the result and don't repeat the expression.
 

@@ -112,3 +112,31 @@ def test_preview_and_json(spark):
     rows = spark.createDataFrame([(2, "b", 'q"'), (1, "a", None)], "place int, URL string, content string")
     assert search.as_json(rows, "URL", "content").first().json == '{"results":[{"URL":"a"},{"URL":"b","content":"q\\""}]}'
     assert search.as_json(rows.limit(0), "URL").first().json == '{"results":[]}'
+
+
+def test_ranks_that_still_move_are_an_error(spark):
+    n, e = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    lone = spark.createDataFrame([("a", "b")], "src string, dst string")
+    assert rank.page_rank(n, e, threshold=0.01).count() == 2
+    with pytest.raises(RuntimeError):
+        rank.page_rank(n, lone, threshold=1e-12, rounds=1)
+
+
+def test_stored_index(spark):
+    rows = [("cat", '"http://a.test":3 5 ,http://b.test:7'), ("cat", "http://a.test:5 9"), ("cat", "http://b.test:7"), ("cat", None), ("dog", "http://a.test:4"), (None, "http://x.test:1"), ("eel", "http://a.test:1")]
+    df = spark.createDataFrame(rows, "word string, value string")
+    got = {(r.word, r.url): r.positions for r in search.stored(df, ["cat", "dog"]).collect()}
+    assert got == {("cat", "http://a.test"): [3, 5, 9], ("cat", "http://b.test"): [7], ("dog", "http://a.test"): [4]}
+    assert search.stored(df.limit(0), ["cat"]).count() == 0
+    assert search.parse_query("Caf%C3%A9+NOIR%20deux") == ["café", "noir", "deux"]
+
+
+def test_preview_fallback(spark):
+    df = spark.createDataFrame([("a b c",), (None,), ("",)], "page string")
+    got = [r.c for r in df.select(search.with_fallback(search.preview(F.col("page"), F.lit(1))).alias("c")).collect()]
+    assert got == ["a b c", search.NO_PREVIEW, search.NO_PREVIEW]
+
+
+def test_redirects_are_decoded(spark):
+    df = spark.createDataFrame([(301, "http://a.test/%C3%A9"), (302, "http://a.test/100%"), (200, "http://a.test/%41"), (301, None)], "responsecode int, redirecturl string")
+    assert sorted(r.redirecturl for r in crawl.redirects(df).collect()) == ["http://a.test/100%", "http://a.test/é"]

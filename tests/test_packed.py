@@ -2,7 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.operators.packed import packed_values, split_posting, unpack
+from spindrift.operators.packed import URL_START, packed_values, split_posting, unpack, unpack_urls
 
 CASES = [
     ("http://a.test/x,https://b.test/y", ["http://a.test/x", "https://b.test/y"]),
@@ -22,7 +22,7 @@ CASES = [
 
 def test_values(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "i int, t string")
-    got = {r.i: r.v for r in df.select("i", packed_values("t").alias("v")).collect()}
+    got = {r.i: r.v for r in df.select("i", packed_values("t", URL_START).alias("v")).collect()}
     for i, (text, want) in enumerate(CASES):
         assert got[i] == want, text
 
@@ -30,16 +30,16 @@ def test_values(spark):
 def test_rows(spark):
     rows = [(1, "http://a.test,http://b.test", "x"), (1, "http://a.test,http://b.test", "x"), (2, None, "y"), (3, "", "z"), (None, "http://c.test", None)]
     df = spark.createDataFrame(rows, "seq long, links string, item string")  # item clashes and is replaced
-    out = unpack(df, "links")
+    out = unpack_urls(df, "links")
     assert out.columns == ["seq", "pos", "item"]
     assert sorted((r.seq or 0, r.pos, r.item) for r in out.collect()) == [(0, 0, "http://c.test"), *[(1, p, x) for p, x in ((0, "http://a.test"), (1, "http://b.test")) for _ in range(2)]]
-    assert unpack(df.limit(0), "links").count() == 0
+    assert unpack_urls(df.limit(0), "links").count() == 0
 
 
 def test_very_long_text(spark):
     n = 60_000
     text = ",".join(f'"http://a.test/{i}?q=""x"""' if i % 3 else f"http://a.test/{i};v=2" for i in range(n))
-    got = spark.createDataFrame([(text,)], "t string").select(packed_values("t").alias("v")).first().v
+    got = spark.createDataFrame([(text,)], "t string").select(packed_values("t", URL_START).alias("v")).first().v
     assert len(got) == n and got[1] == 'http://a.test/1?q="x"' and got[-1].startswith("http://a.test/")
 
 
@@ -73,3 +73,17 @@ def test_round_trip(spark, rows):
     got = {r.i: r.v for r in df.select("i", packed_values(F.col("t")).alias("v")).collect()}
     for i, (values, text) in enumerate(rows):
         assert got[i] == values, text
+
+
+def test_any_values(spark):
+    """Without a pattern that values begin with, every run of separators separates and quotes open at any value."""
+    cases = [
+        ('a;b;"c;d",e', ["a", "b", "c;d", "e"]), ("one, two|three  four", ["one", "two", "three", "four"]), ("'it''s here' x", ["it's here", "x"]), ('[1,2,"3 4"]', ["1", "2", "3 4"]),
+        ("rock'n'roll, o'clock", ["rock'n'roll", "o'clock"]), ('""', []), (",;|", []), (None, None), ('say "so" now', ["say", "so", "now"]), ('12" disc', ['12"', "disc"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", packed_values("t").alias("v")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == want, text
+    rows = unpack(spark.createDataFrame([(1, "b;a;b")], "k int, t string"), "t").collect()
+    assert [(r.k, r.pos, r.item) for r in rows] == [(1, 0, "b"), (1, 1, "a"), (1, 2, "b")]

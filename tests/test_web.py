@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import text, urls, web
@@ -98,3 +99,20 @@ def test_html(spark):
     assert [(r.id, r.pos, r.href, r.anchor) for r in text.anchors(df, "html", "id").collect()] == [("1", 0, "/x", "first"), ("1", 3, "y.js", "")]
     assert {(r.src, r.alt) for r in text.alt_texts(text.images(df, "html", "id"), "id", "src").collect()} == {("/i.png", "one,two"), ("/j.png", "")}
     assert text.anchor_texts(text.anchors(df, "html", "id"), "id").first().anchor == "first"
+
+
+def test_rules_of_a_named_robot(spark):
+    text = "User-agent: finder\nDisallow: /a\nAllow: /b\n\nUser-agent: *\nDisallow: /c"
+    df = spark.createDataFrame([(text, "finder"), (text, "other"), (text, None), (text, ""), (None, "finder")], "robots string, agent string")
+    got = [r.x for r in df.select(web.robots_rules("robots", F.col("agent")).alias("x")).collect()]
+    assert got == [["Disallow: /a", "Allow: /b"], ["Disallow: /c"], ["Disallow: /c"], ["Disallow: /c"], []]
+
+
+def test_blacklist_from_a_table(spark):
+    table = spark.createDataFrame([("*bad.test*",), ("*bad.test*",), (None,)], "pattern string")
+    patterns = web.blocked_patterns(table)
+    assert patterns == ("*bad.test*",)
+    urls = spark.createDataFrame([("http://bad.test/x",), ("http://good.test/x",), (None,)], "url string")
+    assert sorted(str(r.url) for r in web.not_blocked(urls, "url", patterns).collect()) == ["None", "http://good.test/x"]
+    with pytest.raises(ValueError):
+        web.blocked_patterns(table, most=0)
