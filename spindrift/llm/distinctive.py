@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.operators.ordering import lookup
-from spindrift.operators.packed import split_posting, unpack
+from spindrift.operators.packed import split_posting, unpack_urls
 
 #: The size of a record whose word count is unknown.
 UNKNOWN_SIZE = 1000
@@ -23,7 +23,7 @@ def postings(index: DataFrame, word: str = "word", value: str = "value") -> Data
     Repeated rows, repeated postings and postings spread over several rows count once. Rows with a null word or value
     and postings without a url are left out.
     """
-    items = unpack(index.where(F.col(word).isNotNull()).select(F.col(word).alias("word"), F.col(value).alias("value")), "value")
+    items = unpack_urls(index.where(F.col(word).isNotNull()).select(F.col(word).alias("word"), F.col(value).alias("value")), "value")
     p = items.select("word", split_posting("item").alias("p")).where("p.url <> ''").select("word", "p.url", "p.positions")
     return p.groupBy("word", "url").agg(F.size(F.array_distinct(F.flatten(F.collect_set("positions")))).cast("long").alias("tf"))  # repeats collapse before the shuffle
 

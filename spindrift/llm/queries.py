@@ -16,7 +16,7 @@ from spindrift.llm.neardup import classes, expand, near_duplicates
 from spindrift.llm.packing import pack, pack_with_report
 from spindrift.llm.spam import score_pages
 from spindrift.llm.sqltext import P2_BODIES, P2_FOUND, P3_FOUND, P3_SCORES, P6_CLASSES, P6_FOUND, reading_levels
-from spindrift.operators.packed import unpack
+from spindrift.operators.packed import unpack_urls
 from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_domain, sql_key
 from spindrift.runtime import cut
@@ -81,7 +81,7 @@ def page_scores(spark: SparkSession, base: str) -> DataFrame:
     """``id`` with its number of indexed positions, pages that link to it, links out of it, and its rank."""
     own = pages(spark, base, "url").withColumn("key", page_key("url"))
     by_url = postings(table(spark, base, "index_final", "word", "value")).groupBy("url").agg(F.sum("tf").alias("positions"))
-    links = unpack(current(table(spark, base, "outdegrees", "id", "links", "seq")), "links").select(F.col("id").alias("src"), page_key("item").alias("key"))
+    links = unpack_urls(current(table(spark, base, "outdegrees", "id", "links", "seq")), "links").select(F.col("id").alias("src"), page_key("item").alias("key"))
     links = cut(links.where(F.col("key").isNotNull()).distinct())
     into = links.groupBy("key").agg(F.count("*").alias("in_links"))
     out_of = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_links"))

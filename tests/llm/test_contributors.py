@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.contributors import cap_contributors, over_share, water_level
 
+
 def order():
     return [F.col("q").desc_nulls_last(), F.col("id")]
 
@@ -61,3 +62,10 @@ def test_ties_repeats_and_nothing(spark):
     assert cap_contributors(df, "host", order(), 0.4).groupBy("host").count().where("host = 'h'").first()["count"] == 3
     assert cap_contributors(df.limit(0), "host", order(), 0.4).count() == 0
     assert over_share(df.where("host IS NULL"), "host", order(), 0.4).count() == 0
+
+
+def test_shares_that_too_few_contributors_cannot_meet():
+    assert water_level([100, 100, 100], 300, 0.1, "output") == 1
+    assert water_level([100, 100, 100], 300, 0.1, "input", contributors=3) == 30
+    with pytest.raises(ValueError):
+        water_level([100, 100, 100], 300, 0.1, "output", contributors=3)

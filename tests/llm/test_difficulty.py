@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm.difficulty import graph, is_language, levels, propagate, word_count
@@ -54,6 +55,30 @@ def test_shuffle_and_broadcast_agree(spark, monkeypatch):
     assert {x.doc_id: round(x.difficulty, 9) for x in propagate(docs, grades).collect()} == small
 
 
+def test_several_rounds_reach_what_one_cannot(spark):
+    docs = spark.createDataFrame([(1, "apple apple"), (2, "quark quark"), (3, "apple pear"), (4, "pear plum"), (5, "quark gluon"), (6, "gluon boson")], "doc_id long, text string")
+    grades = spark.createDataFrame([(1, 1), (2, 3)], "doc_id long, level int")
+    with pytest.raises(RuntimeError):
+        propagate(docs, grades, rounds=1)  # words are still being reached
+    got = {r.doc_id: r.difficulty for r in propagate(docs, grades).collect()}
+    assert got[4] < 2 < got[6] and got[3] < 2 < got[5]
+
+
+def test_values_stay_on_the_scale_of_the_grades(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, text(r, i % 4)) for i in range(200)], "doc_id long, text string")
+    grades = spark.createDataFrame([(i, i % 4 + 1) for i in range(40)], "doc_id long, level int")
+    rows = propagate(docs, grades).collect()
+    means = [sum(x.difficulty for x in rows if x.doc_id % 4 == k) / 50 for k in range(4)]
+    assert all(abs(m - k - 1) < 0.35 for k, m in enumerate(means))
+
+
+def test_grades_against_the_texts(spark):
+    rows = spark.createDataFrame([(1, 1.0, 3.0), (2, 2.0, 1.0)], "doc_id long, difficulty double, grade double")
+    with pytest.raises(ValueError):
+        levels(rows)
+
+
 def test_languages_and_words(spark):
     rows = [(" EN ", True), ("en-GB", True), ("en_XX", True), ("eng", False), ("de", False), (None, False), ("En", True)]
     df = spark.createDataFrame(rows, "l string, ok boolean")

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from spindrift.llm import packing
-from spindrift.llm.packing import _decode, best_fit, crossover, evolve, fitness, pack
+from spindrift.llm.packing import _decode, best_fit, crossover, evolve, fitness, pack, pack_with_report
 
 
 def check(spark, rows, capacity):
@@ -81,7 +81,8 @@ def test_evolution_beats_the_first_guess():
             sizes += [a, b, 1000 - a - b]
         bins, free = [], []
         best_fit(bins, free, sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
-        genes, value = evolve(sizes, 1000, [], seed, population=8, generations=60)
+        genes, value, start, crossed = evolve(sizes, 1000, [], seed, population=8, generations=60, immigrant=True)
+        assert crossed > 0 and len(set(genes[0])) <= start
         valid(*_decode(genes[0], sizes, 1000), sizes, 1000)
         assert value >= fitness(free, 1000)
         better += len(set(genes[0])) < len(bins)
@@ -89,6 +90,27 @@ def test_evolution_beats_the_first_guess():
     assert evolve([], 10, [], 0)[1] == 0.0
 
 
+@pytest.mark.parametrize("capacity", [512, 1000, 2048])
+def test_evolution_packs_real_sizes(spark, capacity):
+    """From random orders, without the packing by falling sizes, to within two bins of the bound."""
+    from spindrift.llm.queries import document_sizes
+
+    sizes = [r.n_tokens % capacity for r in document_sizes(spark, "/root/testdata/sf0.01").collect()]
+    genes, _, start, crossed = evolve(sizes, capacity, [], 1)
+    least = math.ceil(sum(sizes) / capacity)
+    valid(*_decode(genes[0], sizes, capacity), sizes, capacity)
+    assert crossed > 0 and len(set(genes[0])) <= least + 2 and len(set(genes[0])) < start
+
+
+def test_report(spark):
+    r = random.Random(2)
+    df = spark.createDataFrame([(i, r.randint(100, 700)) for i in range(500)], "doc_id long, n long")
+    packed, report = pack_with_report(df, "doc_id", "n", 1000, islands=3, population=5, generations=10)
+    rows = report.where("level = 0").collect()
+    assert len(rows) == 1 and rows[0].crossovers > 0 and rows[0].end_bins <= rows[0].start_bins
+    assert packed.select("container").distinct().count() <= rows[0].end_bins
+
+
 def test_blocks_share_their_leftovers(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
     r = random.Random(9)
