@@ -34,12 +34,14 @@ PAGES_LEAST, PART_LEAST, SITE_LEAST, LIFT, ANYWAY = 4, 0.2, 10, 2.0, 0.5
 SURE, SURE_OPENING, SOME = 0.5, 0.6, 0.2
 #: Longest piece and opening label, and the greatest lexicon that is broadcast (16 bytes a mark; beyond it a shuffle).
 PIECE, LABEL, BROADCAST_MARKS = 24, 24, 500_000
+#: Longest line whose digits are folded as a whole; of longer ones the openings are.
+FOLDED = 200
 #: Kinds of marks.
 LINE, OPENING, PIECES, LONG_OPENING = 0, 1, 2, 3
 
 _SPACES = " \t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　﻿" + "".join(map(chr, range(0x2000, 0x200C)))
 _SEPARATORS = r"\s*[|·•>»/,–]\s*|\s{2,}|\t|(?<=\p{Ll})(?=\p{Lu})|(?<=\))(?=\p{Lu})"
-_ENDING = r"[.!?…。！？؟।]$"
+_ENDING = ".!?…。！？؟।"
 
 
 def _by_first_letter(words: set[str]) -> str:
@@ -51,6 +53,10 @@ def _by_first_letter(words: set[str]) -> str:
 _STOPS = r"(?<![\p{L}\p{N}])(?:" + _by_first_letter({w for ws in CLOSED.values() for w in ws}) + r")(?![\p{L}\p{N}])"
 
 
+def _fold(text: Column) -> Column:
+    return F.regexp_replace(text, "[0-9]+", "0")
+
+
 def lines(df: DataFrame, key: str = "id", page: str = "page", url: str = "url") -> DataFrame:
     """``key, site, at, x, m, n, sentence``: each line, trimmed, with its masked form, number of words and form."""
     site = domain(url)
@@ -59,12 +65,13 @@ def lines(df: DataFrame, key: str = "id", page: str = "page", url: str = "url")
     # Per page, before its lines are rows.
     pages = df.where(F.col(key).isNotNull() & F.col(page).isNotNull()).select(key, once(site).alias("site"), once(F.initcap(named)).alias("__upper"), once(named).alias("__name"), once(F.split(page, "\n", -1)).alias("__x"))
     pages = pages.select(key, "site", "__upper", "__name", F.posexplode("__x").alias("at", "x"))
-    rows = pages.withColumn("x", once(F.btrim("x", F.lit(_SPACES))))
+    edge = F.substring("x", 1, 1).isin(*_SPACES) | F.substring("x", -1, 1).isin(*_SPACES)
+    rows = pages.withColumn("x", once(F.when(edge, F.btrim("x", F.lit(_SPACES))).otherwise(F.col("x"))))
     masked = F.replace(F.replace("x", F.col("__upper"), F.lit("§")), F.col("__name"), F.lit("§"))
-    rows = rows.withColumn("m", once(F.regexp_replace(masked, "[0-9]+", "0")))
+    rows = rows.withColumn("m", once(F.when(F.length("x") <= FOLDED, _fold(masked)).otherwise(masked)))
     rows = rows.withColumn("n", once(F.length("x") - F.length(F.replace("x", F.lit(" "), F.lit(""))) + 1))
     stops = F.regexp_count(F.lower("x"), F.lit(_STOPS)) >= STOP_DENSITY * F.col("n")
-    closed = (F.length("x") >= CLOSED_LENGTH) & F.col("x").rlike(_ENDING)
+    closed = (F.length("x") >= CLOSED_LENGTH) & F.substring("x", -1, 1).isin(*_ENDING)
     # The cheap test first: words are only counted where it fails.
     sentence = closed | ((F.col("n") >= SENTENCE_WORDS) & (F.length("x") >= 2 * SENTENCE_WORDS) & stops)
     return rows.select(key, "site", "at", "x", "m", "n", once(sentence).alias("sentence"))
@@ -87,7 +94,7 @@ def marks(rows: DataFrame, key: str = "id") -> DataFrame:
     pieces = F.filter(F.split(F.regexp_replace(m, r"^[^:]{1,20}: ", ""), _SEPARATORS, -1), lambda p: p != "")
     rows = rows.withColumn("__p", once(F.when(~F.col("sentence") & (F.col("x") != ""), pieces)))
     known = F.when((F.size("__p") > 1) | (F.length(m) <= PIECE), F.transform(F.filter("__p", lambda p: F.length(p) <= PIECE), lambda p: mark(PIECES, p, F.length(p))))
-    always = F.array(F.when(F.col("x") != "", mark(LINE, m)), F.when(n > 5, mark(LONG_OPENING, words(4))), F.when(label, mark(OPENING, F.substring(m, F.lit(1), colon))))
+    always = F.array(F.when(F.col("x") != "", mark(LINE, m)), F.when(n > 5, mark(LONG_OPENING, _fold(words(4)))), F.when(label, mark(OPENING, _fold(F.substring(m, F.lit(1), colon)))))
     none = F.array().cast("array<struct<kind:int,h:bigint,size:int>>")
     every = F.filter(F.concat(always, F.when(F.col("sentence"), none).otherwise(F.concat(short, F.coalesce(known, none)))), lambda s: s.isNotNull())
     plain = F.col("sentence") | F.contains("x", F.lit("://"))
@@ -120,7 +127,7 @@ def labels(df: DataFrame, key: str = "id", page: str = "page", url: str = "url")
 
     ``df`` should be partitioned by ``key``, as a latest-version view is; then nothing but counts is shuffled.
     """
-    sites = df.where(F.col(key).isNotNull() & F.col(page).isNotNull()).groupBy(domain(url).alias("site")).agg(F.count("*").alias("pages")).where(F.col("site").isNotNull())
+    sites = cut(df.where(F.col(key).isNotNull() & F.col(page).isNotNull()).groupBy(domain(url).alias("site")).agg(F.count("*").alias("pages")).where(F.col("site").isNotNull()))
     marked = marks(lines(df, key, page, url), key)
     known = cut(lexicon(marked, sites, key)).select("h", "share", "uses")
     if known.count() <= BROADCAST_MARKS:

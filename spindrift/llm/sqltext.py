@@ -22,13 +22,14 @@ _WORDS = lambda k: f"array_to_string(string_split(m, ' ')[:{k}], ' ')"  # noqa:
 #: Common tables up to ``labelled(id, labels)`` and ``own(id, site, page)``: marks, the learned lexicon, both passes.
 _FRAME = f"""own AS MATERIALIZED (SELECT id, nullif({sql_domain('url')}, '') AS site, page FROM {SQL_PAGES}),
     split AS (SELECT id, site, generate_subscripts(ls, 1) AS place, trim(unnest(ls), {_TRIM}) AS x, nullif(regexp_extract(site, '^([^.]{{3,}})', 1), '') AS name FROM (SELECT id, site, string_split(page, chr(10)) AS ls FROM own WHERE page IS NOT NULL)),
-    masked AS (SELECT id, site, place, x, regexp_replace(CASE WHEN name IS NULL THEN x ELSE replace(replace(x, upper(name[1]) || name[2:], '§'), name, '§') END, '[0-9]+', '0', 'g') AS m,
-        length(x) - length(replace(x, ' ', '')) + 1 AS n, len(list_filter(regexp_extract_all(lower(x), '{_TOKEN}'), lambda w: list_contains({_STOPS}, w))) AS s FROM split),
-    lined AS MATERIALIZED (SELECT *, (n >= {b.SENTENCE_WORDS} AND length(x) >= {2 * b.SENTENCE_WORDS} AND s >= {b.STOP_DENSITY} * n) OR (length(x) >= {b.CLOSED_LENGTH} AND regexp_matches(x, {_quoted(b._ENDING)})) AS sentence FROM masked),
+    named AS (SELECT id, site, place, x, CASE WHEN name IS NULL THEN x ELSE replace(replace(x, upper(name[1]) || name[2:], '§'), name, '§') END AS m FROM split),
+    masked AS (SELECT id, site, place, x, CASE WHEN length(x) <= {b.FOLDED} THEN regexp_replace(m, '[0-9]+', '0', 'g') ELSE m END AS m,
+        length(x) - length(replace(x, ' ', '')) + 1 AS n, len(list_filter(regexp_extract_all(lower(x), '{_TOKEN}'), lambda w: list_contains({_STOPS}, w))) AS s FROM named),
+    lined AS MATERIALIZED (SELECT *, (n >= {b.SENTENCE_WORDS} AND length(x) >= {2 * b.SENTENCE_WORDS} AND s >= {b.STOP_DENSITY} * n) OR (length(x) >= {b.CLOSED_LENGTH} AND x[-1] IN ({', '.join(map(_quoted, b._ENDING))})) AS sentence FROM masked),
     pieces AS (SELECT *, CASE WHEN sentence OR x = '' THEN NULL ELSE list_filter(string_split({_PIECE_CUT}, chr(1)), lambda p: p <> '') END AS ps FROM lined),
     marks AS MATERIALIZED (SELECT id, site, place, {b.LINE} AS kind, m AS mark, 0 AS size FROM lined WHERE x <> ''
-        UNION ALL SELECT id, site, place, {b.LONG_OPENING}, {_WORDS(4)}, 0 FROM lined WHERE x <> '' AND n > 5
-        UNION ALL SELECT id, site, place, {b.OPENING}, m[:strpos(m, ':')], 0 FROM lined WHERE strpos(m, ':') BETWEEN 2 AND {b.LABEL} AND strpos(m, ':') < length(m)
+        UNION ALL SELECT id, site, place, {b.LONG_OPENING}, regexp_replace({_WORDS(4)}, '[0-9]+', '0', 'g'), 0 FROM lined WHERE x <> '' AND n > 5
+        UNION ALL SELECT id, site, place, {b.OPENING}, regexp_replace(m[:strpos(m, ':')], '[0-9]+', '0', 'g'), 0 FROM lined WHERE strpos(m, ':') BETWEEN 2 AND {b.LABEL} AND strpos(m, ':') < length(m)
         UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(2)}, 0 FROM lined WHERE NOT sentence AND n > 2
         UNION ALL SELECT id, site, place, {b.OPENING}, {_WORDS(1)} || ' ', 0 FROM lined WHERE NOT sentence AND n > 1 AND regexp_matches({_WORDS(1)}, {_quoted(_MARKED)})
         UNION ALL SELECT id, site, place, {b.PIECES}, p, length(p) FROM (SELECT id, site, place, unnest(ps) AS p FROM pieces WHERE len(ps) > 1 OR length(m) <= {b.PIECE}) WHERE length(p) <= {b.PIECE}),
