@@ -30,9 +30,10 @@ def put(log: DataFrame, rows: DataFrame) -> DataFrame:
     return log.unionByName(shifted.select(*log.columns))
 
 
-def raw(log: DataFrame) -> DataFrame:
-    """Every version in append order."""
-    return log.orderBy("seq")
+def raw(log: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Every version in append order, of all keys or those with ``start <= key < end``."""
+    log = log if start is None else log.where(F.col("key") >= start)
+    return (log if end is None else log.where(F.col("key") < end)).orderBy("seq")
 
 
 def get_row(table: DataFrame, key: str, name: str = "key") -> DataFrame:

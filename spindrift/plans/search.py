@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_key, sql_tokens
 from spindrift.plans.web import SQL as WEB_SQL
 from spindrift.plans.web import image_table
-from spindrift.runtime import cut
+from spindrift.runtime import checkpoint_dir, cut
 from spindrift.sources.tables import current, pages, table
 
 
@@ -43,6 +45,13 @@ def postings(spark, base):
     return index.posting_texts(_found(spark, base, words=True))
 
 
+def postings_table(spark, base):
+    """The postings written as a table and read again."""
+    at = f"{checkpoint_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings(spark, base).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def inverted_index(spark, base):
     return index.inverted(_found(spark, base, words=True)).select("word", F.size("postings").alias("pages"), F.get("postings", F.lit(0))["url"].alias("first"), F.aggregate("postings", F.lit(0), lambda a, p: a + F.size(p["positions"])).alias("n"))
 
@@ -90,6 +99,13 @@ def pagerank_pct(spark, base):
     return state.select("id", F.round("curr", 6).alias("curr"))
 
 
+def ranks_table(spark, base):
+    """Ranks after four rounds written as a table and read again."""
+    at = f"{checkpoint_dir(spark)}/ranks-{uuid.uuid4().hex}"
+    pagerank_k(spark, base).select("id", F.col("curr").alias("rank")).write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def _ranks(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "pageranks", "id", "rank").groupBy(F.col("id").alias("url")).agg(F.max("rank").alias("rank"))
 
@@ -174,7 +190,7 @@ def image_search(spark, base):
     return s.image_search(index.positions(images, page="alt"), images, "View nap")
 
 
-QUERIES = {f.__name__: f for f in (word_count, positions_top50, postings, inverted_index, index_text, pagerank_init, pagerank_round1, pagerank_k, pagerank_diff, pagerank_converged, pagerank_pct)}
+QUERIES = {f.__name__: f for f in (word_count, positions_top50, postings, postings_table, ranks_table, inverted_index, index_text, pagerank_init, pagerank_round1, pagerank_k, pagerank_diff, pagerank_converged, pagerank_pct)}
 QUERIES |= {name: _search(terms) for name, terms in _TERMS.items()}
 QUERIES |= {f.__name__: f for f in (search_ranked, search_loose, search_built, search_preview, search_json, image_search)}
 
@@ -253,6 +269,8 @@ SQL = {
     "word_count": f"SELECT * FROM {_COUNT}",
     "positions_top50": f"SELECT url, word, CAST(len(positions) AS INTEGER) AS n, positions[1] AS first, list_max(positions) AS last FROM {_POS}",
     "postings": f"SELECT * FROM {_POSTED}",
+    "postings_table": f"SELECT * FROM {_POSTED}",
+    "ranks_table": f"{_sql_rounds(4)} SELECT id, round(curr, 6) AS rank FROM r4",
     "inverted_index": f"SELECT word, CAST(count(*) AS INTEGER) AS pages, min(url) AS first, CAST(sum(len(positions)) AS INTEGER) AS n FROM {_KNOWN} GROUP BY word",
     "index_text": f"SELECT word, string_agg(value, ',' ORDER BY value) AS value FROM {_POSTED} GROUP BY word",
     "pagerank_init": f"{_WITH_GRAPH} SELECT * FROM r0",

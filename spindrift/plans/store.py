@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import store
 from spindrift.plans.sqltext import SQL_PAGES
-from spindrift.runtime import checkpoint_dir, cut
+from spindrift.runtime import checkpoint_dir, cut, shuffle_partitions
 from spindrift.sources import rowlog
 from spindrift.sources.tables import current, table
 
@@ -40,6 +40,10 @@ def log_raw(spark, base):
     return store.raw(_log(spark, base))
 
 
+def log_raw_range(spark, base):
+    return store.raw(_log(spark, base), "2", "5")
+
+
 def log_put(spark, base):
     new = table(spark, base, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit("click").alias("col"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"))
     return store.current_cells(store.put(_log(spark, base), new))
@@ -94,6 +98,21 @@ def key_range_owner(spark, base):
     return table(spark, base, "crawl", "id").where("id IS NOT NULL").distinct().select(store.owner(F.col("id"), workers).alias("owner")).groupBy("owner").agg(F.count("*").alias("n"))
 
 
+def table_names(spark, base):
+    names = [n.removesuffix(".parquet") for n in store.tables(spark, base) if n.endswith(".parquet")]
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def row_log_events(spark, base):
+    """All events as a row log, a row for each event, a file for each task; versions of a key stay in their order."""
+    at = _place(spark, "events")
+    rows = _log(spark, base).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("seq")
+    rowlog.write(rows.select("key", F.create_map("col", "value").alias("cells")), at)
+    read = rowlog.read(spark, f"{at}/part-*")
+    placed = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    return read.select("key", "col", F.col("value").cast("string").alias("value"), placed.alias("n"))
+
+
 def row_log_round_trip(spark, base):
     at = _place(spark, "log")
     rows = table(spark, base, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.create_map(F.lit("name"), "n_name", F.lit("region"), F.col("n_regionkey").cast("string")).alias("cells"))
@@ -102,7 +121,7 @@ def row_log_round_trip(spark, base):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_current_cells, log_current_rows, log_raw, log_put, log_counts, current_content, current_crawl, compact_content,
+    log_current_cells, log_current_rows, log_raw, log_raw_range, table_names, row_log_events, log_put, log_counts, current_content, current_crawl, compact_content,
     rename_and_delete, get_row, get_cell, range_scan, table_page, key_range_owner, row_log_round_trip,
 )}
 
@@ -113,6 +132,9 @@ SQL = {
     "log_current_cells": f"SELECT key, col, arg_max(value, seq) AS value FROM {_LOG} GROUP BY key, col",
     "log_current_rows": f"SELECT key, CAST(count(*) AS INTEGER) AS n, max(v) FILTER (col = 'purchase') AS purchase FROM (SELECT key, col, arg_max(value, seq) AS v FROM {_LOG} GROUP BY key, col) GROUP BY key",
     "log_raw": f"SELECT * FROM {_LOG}",
+    "log_raw_range": f"SELECT * FROM {_LOG} WHERE key >= '2' AND key < '5'",
+    "table_names": "SELECT unnest(['content', 'crawl', 'customer', 'documents', 'embeddings', 'events', 'hosts', 'index_final', 'lineitem', 'nation', 'orders', 'outdegrees', 'pageranks', 'part', 'reading_labels', 'region', 'supplier']) AS name",
+    "row_log_events": f"SELECT key, col, value, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM {_LOG}",
     "log_put": f"SELECT key, col, arg_max(value, seq) AS value FROM (SELECT * FROM {_LOG} UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'click', c_name, 1000000000 + c_custkey FROM customer) GROUP BY key, col",
     "log_counts": " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS versions, count(DISTINCT id) AS live FROM {t}" for t in ("content", "crawl", "outdegrees")),
     "current_content": f"SELECT id, url, wordcount, seq, CAST(length(page) AS INTEGER) AS n_chars FROM {SQL_PAGES}",

@@ -229,7 +229,7 @@ SQL = {
     "blacklist_filter": f"SELECT url FROM {_SEEN} WHERE NOT regexp_full_match(url, {_quoted('|'.join('(?:' + p.replace('*', chr(92) + 'S*') + ')' for p in web.BLOCKED))})",
     "blacklist_table": f"SELECT {_sql_hash('pattern')} AS id, pattern FROM (VALUES {', '.join(f'({_quoted(p)})' for p in web.BLOCKED)}) t(pattern)",
     "allowed_suffix": f"SELECT url FROM {_SEEN} WHERE regexp_extract({_P['host']}, '([^.]*)$', 1) IN ('example', 'test')",
-    "domain_quota": "SELECT id, domain FROM (SELECT id, seq, regexp_extract(host, '([^.]*\\.[^.]*|[^.]*)$', 1) AS domain FROM crawl WHERE id IS NOT NULL AND host IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq, id) <= 200",
+    "domain_quota": f"SELECT id, domain FROM (SELECT id, seq, regexp_extract(host, '([^.]*\\.[^.]*|[^.]*)$', 1) AS domain FROM crawl WHERE id IS NOT NULL AND host IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY seq, id) <= CASE WHEN domain IN ({', '.join(map(_quoted, web.HUBS))}) THEN 10000 WHEN NOT contains(domain, '.') THEN 1000 ELSE 200 END",
     "frontier_bfs": f"""WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT {sql_key('url')} AS src, {sql_key('item')} AS dst FROM {_LINKS}),
         met AS (SELECT k AS id, 0 AS depth FROM (SELECT {sql_key('url')} AS k FROM {SQL_PAGES} WHERE url IS NOT NULL ORDER BY k LIMIT 3)
         UNION SELECT dst, depth + 1 FROM met JOIN links ON src = id WHERE depth < 40 AND dst IS NOT NULL)

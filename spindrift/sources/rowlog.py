@@ -1,21 +1,42 @@
 """The text form of a row log: ``key SP (column SP length SP bytes SP)* LF``, one row per version.
 
-Values are length-prefixed and may hold any byte, line feeds too, so a file is read by one task; a log of many files is
-read in parallel. Keys and column names may hold neither space nor line feed; writing such is an error.
+Values are length-prefixed and may hold any byte, line feeds too, so where a row begins is known only from the row
+before: a file is read by one task, as a stream, in memory for a chunk or its longest row; a log of many files is read in
+parallel. Keys and column names may hold neither space nor line feed; writing such is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.runtime import shuffle_partitions
+
 SCHEMA = "table string, key string, col string, value binary, seq bigint"
 
 
 def decode(data: bytes) -> Iterator[tuple[int, str, dict[str, bytes]]]:
     """``offset, key, cells`` of each row; a torn last row ends the log, any other fault is an error."""
+    return ((begin, key, cells) for begin, _, key, cells in _rows(data))
+
+
+def decode_stream(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[int, str, dict[str, bytes]]]:
+    """:func:`decode` for a log of any length: rows as they become whole."""
+    data, base = b"", 0
+    while more := stream.read(max(chunk, len(data))):
+        data += more
+        done = 0
+        for begin, done, key, cells in _rows(data):
+            yield base + begin, key, cells
+        data, base = data[done:], base + done
+
+
+def _rows(data: bytes) -> Iterator[tuple[int, int, str, dict[str, bytes]]]:
+    """The whole rows of ``data``: where each begins and ends, its key and cells."""
     at = 0
     while at < len(data):
         begin, space = at, data.find(b" ", at)
@@ -38,7 +59,7 @@ def decode(data: bytes) -> Iterator[tuple[int, str, dict[str, bytes]]]:
         if at >= len(data):
             return
         at += 1
-        yield begin, key, cells
+        yield begin, at, key, cells
 
 
 def encode(key: str, cells: dict[str, bytes]) -> bytes:
@@ -54,18 +75,21 @@ def read(spark: SparkSession, pattern: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
 
         names = ("table", "key", "col", "value", "seq")
+        types = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64())
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path in batch.column(0).to_pylist():
                 table = path.rsplit("/", 1)[-1].removesuffix(".table")
-                rows = [(table, k, c, v, at) for at, k, cells in decode(content) for c, v in cells.items()]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                types = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
-
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+                system, place = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(place) as stream:
+                    cells = ((table, k, c, v, at) for at, k, row in decode_stream(stream) for c, v in row.items())
+                    while some := list(islice(cells, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=list(names))
+
+    files = spark.read.format("binaryFile").load(pattern).select("path")  # listed, not read
+    return files.repartition(shuffle_partitions(spark), "path").mapInArrow(run, SCHEMA)
 
 
 def write(df: DataFrame, path: str) -> None:
