@@ -12,6 +12,7 @@ from spindrift.operators import crawl
 from spindrift.operators.packed import unpack_urls
 from spindrift.plans.packed import sql_values
 from spindrift.plans.sqltext import SQL_PAGES, sql_host, sql_key
+from spindrift.runtime import cut
 from spindrift.sources.tables import current, pages, table
 
 #: What a page is set in, so that the HTML operators run over whole texts.
@@ -129,6 +130,22 @@ def frontier_bfs(spark, base):
     return crawl.frontier(seeds, links)
 
 
+def _site(spark: SparkSession, base: str) -> DataFrame:
+    """What a fetch finds at each address of the link table: its links as anchors, in order."""
+    rows = _links(spark, base).where("url IS NOT NULL").groupBy("id", "url").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("links"))  # one page's links
+    html = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<a href="'), x["item"], F.lit('">to</a>'))), "\n")
+    return rows.select(web.normalize("url", F.lit("http://x/")).alias("url"), F.lit(200).alias("responsecode"), html.alias("html"), F.lit(None).cast("string").alias("redirecturl")).where("url IS NOT NULL").dropDuplicates(["url"])
+
+
+def crawl_run(spark, base):
+    """A whole crawl of the link table from its first three pages, under the hosts' rules and the blacklist, with the round of each page."""
+    site = cut(_site(spark, base))
+    seeds = site.select("url").orderBy("url").limit(3)
+    rules = table(spark, base, "hosts", "host", "robots")
+    fetched, _ = crawl.run(seeds, lambda queue: queue.join(site, "url", "left"), rules, blacklist_table(spark, base), ("example", "test", "invalid"), quota=10_000)
+    return fetched.select("url", "round", F.coalesce(F.col("responsecode") == 200, F.lit(False)).alias("found"))
+
+
 def host_gap(spark, base):
     seen = table(spark, base, "crawl", "id", "host", "fetched_at", "seq").distinct()
     return crawl.too_soon(seen, "host", "fetched_at", [F.col("fetched_at").asc(), F.col("seq").asc(), F.col("id").asc()], 10_000).select("id", "seq", "gap_ms")
@@ -145,7 +162,7 @@ def unseen_links(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     hash_key, parse_url_parts, url_hosts, normalize_links, normalize_relative, strip_html, extract_links, out_links, anchor_text,
-    extract_images, robots_allow, robots_own_rules, robots_agent_rules, image_table, blacklist_filter, blacklist_table, allowed_suffix, domain_quota, frontier_bfs,
+    extract_images, robots_allow, robots_own_rules, robots_agent_rules, image_table, blacklist_filter, blacklist_table, allowed_suffix, domain_quota, frontier_bfs, crawl_run,
     host_gap, redirect_targets, unseen_links,
 )}
 
@@ -234,6 +251,17 @@ SQL = {
         met AS (SELECT k AS id, 0 AS depth FROM (SELECT {sql_key('url')} AS k FROM {SQL_PAGES} WHERE url IS NOT NULL ORDER BY k LIMIT 3)
         UNION SELECT dst, depth + 1 FROM met JOIN links ON src = id WHERE depth < 40 AND dst IS NOT NULL)
         SELECT id, min(depth) AS depth FROM met GROUP BY id""",
+    "crawl_run": rf"""WITH RECURSIVE rules AS MATERIALIZED (SELECT host, flatten(list_transform(list_filter(string_split(robots, chr(10) || chr(10)), lambda b: starts_with(b, 'User-agent: *' || chr(10))), lambda b: string_split(b, chr(10))[2:])) AS rules
+            FROM (SELECT host, max(robots) AS robots FROM hosts WHERE robots IS NOT NULL GROUP BY host)),
+        rows AS MATERIALIZED (SELECT * FROM (SELECT {_sql_normalize('url', "'http://x/'")} AS leaf, url, links FROM outdegrees WHERE id IS NOT NULL AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC NULLS LAST) = 1) WHERE links IS NOT NULL),
+        hrefs AS (SELECT DISTINCT leaf, regexp_replace(regexp_extract(item, '^[^\s"''<>]+'), '#.*$', '') AS href FROM ({sql_values('rows', 'links', 'leaf, url')}) WHERE NOT regexp_matches(regexp_extract(item, '^[^\s"''<>]+'), '\.(?:jpg|jpeg|gif|png|txt|pdf)$', 'i')),
+        whole AS (SELECT DISTINCT leaf, {_sql_normalize('href', 'leaf')} AS url FROM hrefs WHERE href <> ''),
+        parted AS (SELECT leaf, url, {_P['host']} AS host, {_P['path']} AS path FROM whole WHERE url IS NOT NULL),
+        links AS MATERIALIZED (SELECT leaf, url FROM parted p LEFT JOIN rules r ON r.host = p.host WHERE regexp_extract(p.host, '([^.]*)$', 1) IN ('example', 'test', 'invalid')
+            AND NOT regexp_full_match(url, {_quoted('|'.join('(?:' + p.replace('*', chr(92) + 'S*') + ')' for p in web.BLOCKED))}) AND (r.rules IS NULL OR (path <> '' AND starts_with(coalesce({_FITS.replace('rules', 'r.rules')}[1], 'Allow'), 'Allow')))),
+        site AS MATERIALIZED (SELECT DISTINCT leaf FROM ({sql_values('rows', 'links', 'leaf')})),
+        met AS (SELECT leaf AS url, 0 AS round FROM (SELECT leaf FROM site ORDER BY leaf LIMIT 3) UNION SELECT l.url, round + 1 FROM met m JOIN links l ON l.leaf = m.url WHERE round < 40)
+        SELECT url, CAST(min(round) AS INTEGER) AS round, url IN (SELECT leaf FROM site) AS found FROM met GROUP BY url""",
     "host_gap": """SELECT id, seq, gap_ms FROM (SELECT id, seq, CAST(floor((epoch_us(fetched_at) - lag(epoch_us(fetched_at)) OVER (PARTITION BY host ORDER BY fetched_at, seq, id)) / 1000) AS BIGINT) AS gap_ms
         FROM (SELECT DISTINCT id, host, fetched_at, seq FROM crawl WHERE host IS NOT NULL AND fetched_at IS NOT NULL)) WHERE gap_ms < 10000""",
     "redirect_targets": f"SELECT id, seq, {_sql_normalize('redirecturl', 'url')} AS target FROM (SELECT DISTINCT * FROM crawl) WHERE responsecode IN (301, 302, 303, 307, 308) AND redirecturl IS NOT NULL",
