@@ -47,7 +47,8 @@ def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataF
     Null bodies and null keys have none.
     """
     text = F.lower(body)
-    text = F.when(text.rlike(_SPACELESS), F.regexp_replace(text, f"({_SPACELESS})", " $1 ")).otherwise(text)
+    wide = F.octet_length(text) > F.length(text)  # most texts are told apart without a search
+    text = F.when(wide & text.rlike(_SPACELESS), F.regexp_replace(text, f"({_SPACELESS})", " $1 ")).otherwise(text)
     each = bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(F.regexp_extract_all(text, F.lit(_WORD), 0))).alias("w"))
     symbol = F.when(F.contains("w", F.lit("/")) | F.contains("w", F.lit(".")), _ADDRESS).otherwise(F.col("w"))
     counts = each.select(key, F.xxhash64(symbol).alias("h")).groupBy(key, "h").agg(F.count("*").alias("n"))
@@ -162,12 +163,14 @@ def _strangers(pages: DataFrame, figures: DataFrame, suspects: DataFrame, key: s
     are at most a thousand times as many such words as a page has words, so the list is broadcast.
     """
     sizes = figures.where("prose").groupBy("language").agg(F.count("*").alias("size"))
-    words = pages.select(key, F.explode("by_count").alias("c")).select(key, F.col("c.n").alias("n"), F.explode("c.hs").alias("h"))
-    kind = figures.select(key, F.when(F.col("prose"), F.col("language")).otherwise(-1).alias("language"))
-    home = words.join(kind, key).groupBy("h", "language").agg(F.count("*").alias("k"))
+    about = figures.select(key, "language", F.when(F.col("prose"), F.col("language")).otherwise(-1).alias("home")).join(suspects.select(key, F.lit(True).alias("suspect")), key, "left")
+    # Pages move with their words in arrays, not word by word.
+    words = pages.select(key, "by_count").join(about, key).select(key, "language", "home", "suspect", F.explode("by_count").alias("c"))
+    words = words.select(key, "language", "home", "suspect", F.col("c.n").alias("n"), F.explode("c.hs").alias("h"))
+    home = words.groupBy("h", F.col("home").alias("language")).agg(F.count("*").alias("k"))
     home = home.groupBy("h").agg(F.sum("k").alias("uses"), F.max_by("language", F.when(F.col("language") >= 0, F.col("k")).otherwise(0)).alias("language"), F.max(F.when(F.col("language") >= 0, F.col("k"))).alias("k"))
     vocabulary = home.where(F.col("k") >= OWN * F.col("uses")).join(F.broadcast(sizes), "language").where(F.col("k") >= COMMON * F.col("size")).select("h", F.col("language").alias("of"))
-    own = words.join(suspects.select(key, "language"), key).join(F.broadcast(vocabulary), "h", "left")
+    own = words.where("suspect").join(F.broadcast(vocabulary), "h", "left")
     address = F.xxhash64(F.lit(_ADDRESS))
     n = F.when(F.col("h") != address, F.col("n")).otherwise(0)
     shares = own.groupBy(key).agg(F.sum(n).alias("__all"), F.sum(F.when(F.col("of") == F.col("language"), n).otherwise(0)).alias("__own"))
