@@ -30,13 +30,13 @@ def packed_values(text: Column | str, start: str | None = None, separators: str
     """
     text = F.col(text) if isinstance(text, str) else text
     edge, start = rf"{separators}{wrappers}", start or ""
-    for mark in ('"', "'"):
-        literal = rf"(^|[{edge}]){mark}(?={start})((?:[^{mark}]++|{mark}{mark})*+){mark}(?=[{edge}:]|$)"
-        text = F.regexp_replace(text, F.lit(literal), F.lit(f"$1{_QUOTE}{mark}$2{_QUOTE}"))
+    # Both kinds in one search from the left, so that a mark inside a value of the other kind is not met on its own.
+    quoted = "|".join(rf"{mark}(?={start})(?:[^{mark}]++|{mark}{mark})*+{mark}" for mark in ('"', "'"))
+    text = F.regexp_replace(text, F.lit(rf"(^|[{edge}])({quoted})(?=[{edge}:]|$)"), F.lit(f"$1{_QUOTE}$2{_QUOTE}"))
     boundary = rf"[{edge}]+(?={start}|\z)|^[{edge}]+" if start else rf"[{edge}]+"
 
     def piece(p: Column, i: Column) -> Column:
-        body, kind = p.substr(F.lit(2), F.length(p)), p.substr(1, 1)
+        body, kind = p.substr(F.lit(2), F.length(p) - 2), p.substr(1, 1)
         return F.when(i % 2 == 1, F.replace(body, F.concat(kind, kind), kind)).otherwise(F.regexp_replace(p, boundary, _CUT))
 
     joined = F.array_join(F.transform(F.split(text, _QUOTE, -1), piece), "")

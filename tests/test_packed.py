@@ -70,9 +70,10 @@ def packed(draw):
 @given(rows=st.lists(packed(), min_size=1, max_size=30))
 def test_round_trip(spark, rows):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i int, t string")
-    got = {r.i: r.v for r in df.select("i", packed_values(F.col("t")).alias("v")).collect()}
-    for i, (values, text) in enumerate(rows):
-        assert got[i] == values, text
+    for start in (None, URL_START):
+        got = {r.i: r.v for r in df.select("i", packed_values(F.col("t"), start).alias("v")).collect()}
+        for i, (values, text) in enumerate(rows):
+            assert got[i] == values, text
 
 
 def test_any_values(spark):
