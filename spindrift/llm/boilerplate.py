@@ -111,7 +111,8 @@ def lexicon(marked: DataFrame, sites: DataFrame, key: str = "id") -> DataFrame:
     """
     total = sites.agg(F.sum("pages").alias("t")).first()["t"] or 0
     once_a_page = marked.where(F.col("h").isNotNull() & F.col("site").isNotNull()).groupBy(key, "site", "h").agg(F.max("kind").alias("kind"))
-    counts = once_a_page.groupBy("site", "h").agg(F.count("*").alias("k"), F.max("kind").alias("kind")).join(sites, "site")
+    counts = once_a_page.groupBy("site", "h").agg(F.count("*").alias("k"), F.max("kind").alias("kind"))
+    counts = lookup(counts, sites, ["site"], "pages")  # a site may own any part of the marks
     big = F.col("pages") >= SITE_LEAST
     step = F.when(big & (F.col("k") >= PAGES_LEAST), F.floor(20 * F.col("k") / F.col("pages")).cast("int")).when(big, F.lit(-1)).otherwise(F.lit(-2))
     steps = counts.groupBy("h", step.alias("step")).agg(F.sum("k").alias("k"), F.max("kind").alias("kind"))
