@@ -41,6 +41,15 @@ _ADDRESS = "<address>"
 LISTED = {w: (k if sum(w in ws for ws in CLOSED.values()) == 1 else -1) for k, own in enumerate(CLOSED.values()) for w in own}
 
 
+def _fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as part of the plan: from lists of Python, executors would start Python workers for them."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)}))
+
+
 def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
     """``key, word, h, n``: words in lower case with their hash; any address is one symbol (``word`` is null for unlisted words).
 
@@ -52,7 +61,7 @@ def word_counts(bodies: DataFrame, key: str = "id", body: str = "body") -> DataF
     each = bodies.where(F.col(key).isNotNull()).select(key, F.explode(once(F.regexp_extract_all(text, F.lit(_WORD), 0))).alias("w"))
     symbol = F.when(F.contains("w", F.lit("/")) | F.contains("w", F.lit(".")), _ADDRESS).otherwise(F.col("w"))
     counts = each.select(key, F.xxhash64(symbol).alias("h")).groupBy(key, "h").agg(F.count("*").alias("n"))
-    listed = bodies.sparkSession.createDataFrame([*LISTED.items(), (_ADDRESS, -2)], "word string, home int").select("word", "home", F.xxhash64("word").alias("h"))
+    listed = _fixed(bodies.sparkSession, [*LISTED.items(), (_ADDRESS, -2)], "word string, home int").select("word", "home", F.xxhash64("word").alias("h"))
     return counts.join(F.broadcast(listed), "h", "left").select(key, "word", "home", "h", "n")  # a fixed list of some 200 words
 
 
@@ -88,19 +97,26 @@ def curves(counts: DataFrame, key: str = "id") -> DataFrame:
     return fitted.select(key, "words", "slope", residual.alias("residual"), "extent", "symbols", "hits", "by_count")
 
 
-def divergences(pages: DataFrame, key: str = "id") -> DataFrame:
-    """``key, words, slope, residual, extent``, ``language``, ``prose`` and ``divergence`` of the rows of :func:`curves`, materialised."""
+def mixtures(pages: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of :func:`curves` with their mixture of languages (``__mix``), ``language``, closed-class ``part``, and whether they may be prose (``__pure``)."""
     whole = F.col("hits")[0]
     for k in range(1, len(LANGUAGES)):
         whole = whole + F.col("hits")[k]
     # A page without any such word is measured against the first language, if it has that language's words.
     mix = F.when(whole > 0, F.transform("hits", lambda h: h / whole)).otherwise(F.array(F.lit(1.0), *[F.lit(0.0)] * (len(LANGUAGES) - 1)))
-    narrow = pages.select(key, "words", "slope", "residual", "extent", "symbols", once(mix).alias("__mix"))
+    mixed = pages.withColumn("__mix", once(mix)).drop("hits")
     most = F.array_max("__mix")
     count = lambda keep: F.aggregate("symbols", F.lit(0.0), lambda a, s: a + F.when(keep(s["word"] == _ADDRESS), s["n"]).otherwise(0.0)) / F.col("words")
-    mixed = narrow.withColumns({"language": F.array_position("__mix", most).cast("int") - 1, "part": count(lambda a: ~a), "__addresses": count(lambda a: a)})
-    mixed = mixed.withColumn("__pure", (most >= 0.9) & (F.col("words") >= REFERENCE_WORDS) & (F.col("__addresses") <= REFERENCE_ADDRESSES))
-    mixed = cut(mixed)  # medians, means and the result below read it
+    mixed = mixed.withColumns({"language": F.array_position("__mix", most).cast("int") - 1, "part": count(lambda a: ~a), "__addresses": count(lambda a: a)})
+    return mixed.withColumn("__pure", (most >= 0.9) & (F.col("words") >= REFERENCE_WORDS) & (F.col("__addresses") <= REFERENCE_ADDRESSES)).drop("__addresses")
+
+
+def divergences(pages: DataFrame, key: str = "id") -> DataFrame:
+    """``key, words, slope, residual, extent``, ``language``, ``prose`` and ``divergence`` of the rows of :func:`mixtures`, materialised.
+
+    Medians, means and the result read ``pages``, so it should be materialised too.
+    """
+    mixed = pages.drop("by_count")
     usual = mixed.where("__pure").groupBy("language").agg(F.percentile_approx("part", 0.5, 10_000).alias("__usual"))
     mixed = mixed.join(F.broadcast(usual), "language", "left")  # a row per language
     mixed = mixed.withColumn("__pure", F.coalesce(F.col("__pure") & (F.col("part") >= REFERENCE_PART * F.col("__usual")), F.lit(False)))
@@ -183,20 +199,21 @@ def score_pages(spark: SparkSession, bodies: DataFrame, key: str = "id", body: s
     ``cause`` is ``curve``, ``divergence``, ``both`` or null. Pages of fewer than :data:`LEAST_WORDS` words and null or
     empty bodies get no row: there is no curve to speak of. A page in a language without closed-class words here has a
     null ``z_divergence``. With no prose at all nothing is flagged. ``bodies`` should be partitioned by ``key`` already,
-    as a latest-version view is; then counting needs no shuffle.
+    as a latest-version view is; then counting needs no shuffle. Each partition of what is kept here is a file, and on a
+    local file system each file takes two processes that executors start (``chmod``); so pages and figures alone are kept.
     """
-    pages = cut(curves(word_counts(bodies, key, body), key).where(F.col("words") >= LEAST_WORDS))
+    pages = cut(mixtures(curves(word_counts(bodies, key, body), key).where(F.col("words") >= LEAST_WORDS), key))
     figures = divergences(pages, key)
     names = list(SPREADS)
     schema = "language int, cls int, " + ", ".join(f"m_{c} double, s_{c} double" for c in names)
-    norms = spark.createDataFrame(_norms(figures), schema)
+    norms = _fixed(spark, _norms(figures), schema)
     classed = figures.withColumn("cls", _length_class(F.col("words")))
 
     def scored(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(norms), ["language", "cls"], "left").withColumns({f"z_{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in names})
 
     suspects = scored(classed).where(F.col("z_divergence") > FAR).select(key, "language")
-    strangers = cut(_strangers(pages, figures, suspects, key)).withColumn("__strange", F.lit(True))
+    strangers = _strangers(pages, figures, suspects, key).withColumn("__strange", F.lit(True))
     known = classed.join(strangers, key, "left").withColumn("language", F.when(F.col("__strange"), -1).otherwise(F.col("language")))
     out = scored(known).withColumn("z_divergence", F.when(F.col("__strange").isNull(), F.col("z_divergence")))
     far = F.coalesce(F.col("z_divergence") > FAR, F.lit(False))

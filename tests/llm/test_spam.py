@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from spindrift.llm import boilerplate, queries, spam
 from spindrift.llm.spam import score_pages, word_counts
 
 NOUNS = "garden river table house window stone market letter road bridge village winter summer kitchen engine number picture season farmer teacher".split()
@@ -76,3 +77,20 @@ def test_other_languages(spark):
     flagged = {k for k, v in scored.items() if v.flagged}
     assert {k for k in pages if k.startswith("bad-")} == flagged
     assert all(scored[k].cause == "curve" and scored[k].z_divergence is None for k in flagged)
+
+
+def test_few_checkpoints_and_no_python_workers(spark, small, monkeypatch):
+    """Executors start processes for each file of a checkpoint, and Python workers for rows that come from Python lists."""
+    kept, plans, plain = [], [], spam.cut
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+
+    def cut(df):
+        kept.append(df)
+        plans.append(plan(df))
+        return plain(df)
+
+    for module in (boilerplate, spam):
+        monkeypatch.setattr(module, "cut", cut)
+    plans.append(plan(queries.p3_found(spark, small)))
+    assert len(kept) <= 5  # sites, lexicon, labels, pages, figures
+    assert not [p for p in plans if "LogicalRDD [word#" in p or "LogicalRDD [language#" in p]
